@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct chunks held by a worker; at the bound the table starts anew.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 1_000_000
 
 
 class ChunkTable:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepieces, simhash, substring
+from . import mixing, sentencepieces, simhash, substring, tokenfile
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ ORACLE_SQL["op6_source_mix"] = mixing.ORACLE_SQL
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
