@@ -19,7 +19,7 @@ def create(uri: str):
     """A new file for writing; its folder is made if need be."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
 
 
 def opened(uri: str):
