@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepieces, simhash, substring, tokenfile, warc
+from . import mixing, sentencepieces, simhash, substring, tokenfile, topk, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op2_warc"] = warc.ORACLE_SQL
+
+
+@query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+ORACLE_SQL["op9_exact_topk"] = topk.ORACLE_SQL
