@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepieces, simhash, substring, tokenfile, topk, warc
+from . import epsilonjoin, mixing, sentencepieces, simhash, substring, tokenfile, topk, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_exact_topk"] = topk.ORACLE_SQL
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilonjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op10_embedding_near_dedup"] = epsilonjoin.ORACLE_SQL
