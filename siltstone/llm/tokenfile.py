@@ -315,8 +315,9 @@ def _read(batches: Iterator[pa.RecordBatch], want: str) -> Iterator[pa.RecordBat
 
 
 def _from_files(index: DataFrame, want: str, kind: str) -> DataFrame:
-    # documents that lie together are read together, a file in as many tasks as its size asks for
-    near = index.repartition("file", F.floor(F.col("at") / (4 * SEGMENT))).sortWithinPartitions("file", "at")
+    # documents that lie together are read together, in as many tasks as their ids ask for
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, int((index.agg(F.sum("n_tokens")).first()[0] or 0) // (4 * SEGMENT)))
+    near = index.repartition(tasks, "file", F.floor(F.col("at") / (4 * SEGMENT))).sortWithinPartitions("file", "at")
     return arrow_map(near, _read, f"{', '.join(f'{n} {t}' for n, t in index.dtypes)}, {want} {kind}", want)
 
 

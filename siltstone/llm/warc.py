@@ -171,7 +171,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     A revisit's payload is null; its digest and length are those of the payload it stands for.
     """
     near = index.select("archive", "offset", "length")
-    near = near.repartition("archive", F.floor(F.col("offset") / (4 * RANGE))).sortWithinPartitions("archive", "offset")
+    # what a task has to do is in the archives, not in the rows: so many tasks as their bytes ask for
+    tasks = max(near.sparkSession.sparkContext.defaultParallelism, int((near.agg(F.sum("length")).first()[0] or 0) // (4 * RANGE)))
+    near = near.repartition(tasks, "archive", F.floor(F.col("offset") / (4 * RANGE))).sortWithinPartitions("archive", "offset")
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
     return arrow_map(near, _read, schema + ", payload binary" * payloads, payloads)
 
