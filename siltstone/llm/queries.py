@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import epsilonjoin, mixing, quality, sentencepieces, simhash, substring, tokenfile, topk, warc
+from . import epsilonjoin, mixing, quality, sentencepieces, simhash, substring, tokenfile, topk, toxicity, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ ORACLE_SQL["op10_embedding_near_dedup"] = epsilonjoin.ORACLE_SQL
 @query
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
