@@ -1 +1,11 @@
+"""Registered queries of the library."""
 
+import importlib
+
+MODULES = ("text_queries",)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
