@@ -27,7 +27,7 @@ _rewritten("x05_marker", tx.without_marker, "replace($T, chr(9601), '_')")
 _rewritten("x06_control", tx.without_controls, CONTROLS("$T"))
 _rewritten("x07_blank_runs", tx.squeezed, SQUEEZE("$T"))
 _rewritten("x12_squash", tx.squashed, SQUASH("$T"))
-_rewritten("x13_tidy", tx.tidied, STRIP("regexp_replace(regexp_replace($T, '[ \\t]+$', '', 'gm'), '\\n{3,}', chr(10) || chr(10), 'g')"))
+_rewritten("x13_tidy", tx.tidied, STRIP("regexp_replace(regexp_replace($T, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"))
 _rewritten("x15_mask_email", tx.masked_emails, "regexp_replace($T, '[\\w.+-]+@[\\w-]+(\\.[\\w-]+)+', '[email]', 'g')")
 _rewritten(
     "x20_strip_markup",
