@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str.split() has it; Java's and RE2's \s has less.
@@ -133,6 +133,11 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often later expressions (and their lambdas) read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def looks_english(text: Column, window: int = 8000, least: float = 0.10, few: int = 50, foreign: float = 0.005) -> Column:
     """Few words, enough function words at the start or in the middle, or hardly a letter beyond ASCII."""
     known = F.array(*[F.lit(w) for w in ENGLISH_WORDS])

@@ -73,7 +73,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 def word_table(df: DataFrame, id_col: str, text: Column, chars: int | None = 100_000, ahead: int = 8) -> DataFrame:
     """(id, word, next): every word with the words that follow it, of the first ``chars`` characters."""
     body = text if chars is None else F.substring(text, 1, chars)
-    found = df.select(F.col(id_col).alias("id"), tx.words(body).alias("w"))
+    found = tx.computed(df.select(F.col(id_col).alias("id"), body.alias("body")), "w", tx.words(F.col("body")))
     # the few words that follow are cut before the words become rows, so that no row carries its document
     each = F.transform("w", lambda w, i: F.struct(w.alias("word"), F.slice("w", i + 2, F.lit(ahead)).alias("next")))
     return found.select("id", F.explode(each).alias("x")).select("id", "x.word", "x.next")
