@@ -124,7 +124,8 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
 def _taken(measured: DataFrame, rows: DataFrame, keep: list[str], weights, share, most) -> DataFrame:
     """The columns ``keep`` of ``measured`` and what the mix planned on ``rows`` makes of each row."""
     goals = staged(targets(rows, weights, share, most), "targets")
-    plan = goals.join(thresholds(rows, goals), "key", "left").withColumnRenamed("key", "siltstone_source")
+    # staged, so that its size is known when it is joined: a short table is sent to the rows, and they stay where they are
+    plan = staged(goals.join(thresholds(rows, goals), "key", "left").withColumnRenamed("key", "siltstone_source"), "plan")
     joined = measured.join(plan, F.col("siltstone_key") == F.col("siltstone_source"), "left")
     once_more = F.when(F.col("siltstone_h") < F.col("below"), 1).otherwise(0)
     copies = F.coalesce(F.col("base") + once_more, F.lit(0)).cast("long")
