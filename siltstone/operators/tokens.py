@@ -75,3 +75,11 @@ def documents_of(stream: DataFrame, pos: str, token: str, begin: int, part: str
     """``stream`` with document, the number of begin tokens up to each place; by ``part`` where a stream has parts."""
     over = (Window.partitionBy(part) if part else Window.partitionBy(F.lit(0))).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return stream.withColumn("document", F.sum(F.when(F.col(token) == begin, 1).otherwise(0)).over(over))
+
+
+def byte_lines(df: DataFrame, id_col: str, text_col: str, begin: int = 256, end: int = 257) -> DataFrame:
+    """(id, ids, n): a document as begin, the bytes of its text, end: the tokenizer that needs no vocabulary."""
+    raw = F.hex(F.encode(F.col(text_col), "UTF-8"))
+    bytes_ = F.transform(F.regexp_extract_all(raw, F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    ids = F.concat(F.array(F.lit(begin)), bytes_, F.array(F.lit(end)))
+    return df.select(F.col(id_col), ids.alias("ids")).withColumn("n", F.size("ids"))
