@@ -78,8 +78,8 @@ _sql("fn_math", "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6
 _sql("fn_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, strftime(o_orderdate + INTERVAL 29 DAY, '%Y-%m-%d') AS window_end, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_start FROM orders",
      "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd') AS day, year(o_orderdate) AS y, month(o_orderdate) AS m, date_format(o_orderdate + INTERVAL 29 DAY, 'yyyy-MM-dd') AS window_end, date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') AS month_start FROM orders")
 _sql("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS ok FROM events", "SELECT event_id, get_json_object(props, '$.k') AS k, try_parse_json(props) IS NOT NULL AS ok FROM events")
-_sql("fn_array", "SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(embedding)::DOUBLE, 3) AS s, round(list_max(embedding)::DOUBLE, 6) AS m, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS pos FROM embeddings",
-     "SELECT vec_id, size(embedding) AS n, round(aggregate(embedding, 0D, (a, x) -> a + x), 3) AS s, round(CAST(array_max(embedding) AS DOUBLE), 6) AS m, size(filter(embedding, x -> x > 0)) AS pos FROM embeddings")
+_sql("fn_array", "SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS s, round(list_max(embedding)::DOUBLE, 6) AS m, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS pos FROM embeddings",
+     "SELECT vec_id, size(embedding) AS n, round(aggregate(embedding, 0D, (a, x) -> a + x), 6) AS s, round(CAST(array_max(embedding) AS DOUBLE), 6) AS m, size(filter(embedding, x -> x > 0)) AS pos FROM embeddings")
 _sql("fn_map", "SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS o FROM orders GROUP BY o_custkey",
      "SELECT o_custkey, coalesce(m['F'], 0L) AS f, coalesce(m['O'], 0L) AS o FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS m FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) GROUP BY o_custkey)")
 _sql("u_pivot", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY o_orderpriority",
