@@ -118,7 +118,8 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         )
         used += bits
     nearer = 2 * (F.col("rest") - F.col("done")) > F.col("last")
-    return state.select("key", "base", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
+    below = F.when(F.col("rest") > 0, F.col("prefix") + F.when(nearer, 1).otherwise(0)).otherwise(0)  # empty rows too are taken base times then
+    return state.select("key", "base", below.cast("long").alias("below"))
 
 
 def _taken(measured: DataFrame, rows: DataFrame, keep: list[str], weights, share, most) -> DataFrame:

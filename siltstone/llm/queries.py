@@ -29,6 +29,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op4_substring_dedup"] = substring.ORACLE_SQL
+
+
 @query
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))

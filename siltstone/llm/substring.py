@@ -200,3 +200,17 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return dedup_substrings(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col).select(
         F.col(f"`{id_col}`"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS s, ws FROM d WHERE len(ws) >= 50),
+k AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS key FROM w),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+c AS (SELECT DISTINCT k.doc_id, k.s + o.range AS pos FROM k JOIN f USING (key), range(0, 50) o WHERE f.first < k.doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+m AS (SELECT e.doc_id, e.word, e.pos, c.pos IS NOT NULL AS gone FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.pos = e.pos),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.n_words, 0)::BIGINT AS n_words, coalesce(r.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
