@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.hashing import content_key
+from ..session import staged
 
 
 def reason(text: Column, min_chars: int = 200) -> Column:
@@ -34,13 +35,18 @@ def first_copies(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def decided(df: DataFrame, order: str, text: str, min_chars: int = 200) -> DataFrame:
-    """``df`` with reason: why a document goes, 'exact_duplicate' for later copies of one that stays, or 'kept'."""
-    early = df.withColumn("early", reason(F.col(text), min_chars)).withColumn("content_key", content_key(F.col(text)))
-    left = early.filter("early is null")
-    first = left.groupBy("content_key").agg(F.min(order).alias("first"))
-    joined = early.join(first, "content_key", "left")
-    late = F.when(F.col(order) != F.col("first"), "exact_duplicate").otherwise("kept")
-    return joined.withColumn("reason", F.coalesce("early", late)).drop("early", "first")
+    """``df`` less its text, with chars and reason: why a document goes, 'exact_duplicate' for later copies, or 'kept'.
+
+    Texts are judged in one pass; what follows works on narrow rows that are written once.
+    """
+    judged = tx.computed(df, "siltstone_early", reason(F.col(text), min_chars))
+    judged = judged.withColumns({"content_key": content_key(F.col(text)), "chars": F.length(text).cast("long")})
+    judged = staged(judged.drop(text), "judged")
+    left = judged.filter("siltstone_early is null")
+    first = left.groupBy("content_key").agg(F.min(order).alias("siltstone_first"))
+    joined = judged.join(first, "content_key", "left")
+    late = F.when(F.col(order) != F.col("siltstone_first"), "exact_duplicate").otherwise("kept")
+    return joined.withColumn("reason", F.coalesce("siltstone_early", late)).drop("siltstone_early", "siltstone_first")
 
 
 def lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 
 
+#: Terms up to which the dictionary is sent to the words; a longer one is joined by shuffles.
+SENT_TERMS = 200_000
+
+
 @dataclass(frozen=True)
 class Term:
     term: str
@@ -104,6 +108,8 @@ def hits(words: DataFrame, terms: list[str]) -> DataFrame:
         else:
             pieces.append(piece(kind, of))
     rows = words.select("id", "next", F.explode(F.array(*pieces)).alias("p")).select("id", "next", F.col("p.kind").alias("kind"), F.col("p.piece").alias("piece"))
+    if len(parsed) <= SENT_TERMS:  # the list came from the driver: this is what bounds what is sent
+        table = F.broadcast(table)
     table = table.withColumn("piece", F.col("parts")[0]).withColumn("rest", F.slice("parts", 2, 100))
     found = rows.filter("piece is not null").join(table, ["kind", "piece"])
     after, n = F.transform("next", F.lower), F.size("rest")

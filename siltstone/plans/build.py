@@ -67,7 +67,7 @@ def build(docs: DataFrame, config: BuildConfig = BuildConfig()) -> dict[str, Dat
         d = d.withColumn("low", F.lit(False))
     d = staged(d, "cleaned")
     early = F.when(F.col("low"), "score_below_min").otherwise(decisions.reason(F.col("text"), config.min_chars))
-    d = d.withColumn("early", early)
+    d = staged(tx.computed(d, "early", early), "judged")
     if config.keywords:
         terms = keywords.keyword_filter(
             d.filter("early is null"), list(config.keywords), list(config.exclude), "doc_id", "text", "title", config.keyword_min_hits, config.keyword_min_distinct

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing, planner, text as tx
 from ..operators import split, tokens
+from ..session import staged
 from .catalog import register
 from .common import KEY, docs, table
 
@@ -38,6 +39,7 @@ sp AS (SELECT g.source, g.root, coalesce(g.fixed, CASE WHEN f.taken THEN 'val' E
 def _rooted(spark, sf_dir):
     """(source, id, key, root, root_source, chars): clusters of equal content."""
     d = docs(spark, sf_dir).select("source", F.col("doc_id").alias("id"), hashing.content_key(F.col("text")).alias("key"), F.col("n_chars").alias("chars"))
+    d = staged(d, "keyed")
     first = d.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("root"), F.col("source").alias("root_source")), "id").alias("f"))
     return d.join(first, "key").select("source", "id", "key", "chars", "f.root", "f.root_source")
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing, text as tx
 from ..operators import decisions
+from ..session import staged
 from .catalog import register
 from .common import CLEAN, CONTROLS, KEY, NEWLINES, RAW_SQL, S, SQUASH, SQUEEZE, STRIP, docs, md5, raw, table, word_list
 
@@ -205,7 +206,7 @@ def d01(spark, sf_dir):
 
 @register("w02_first_copy", f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY {KEY('text')} ORDER BY doc_id) AS first_id FROM documents")
 def w02(spark, sf_dir):
-    keyed = docs(spark, sf_dir).select("doc_id", hashing.content_key(F.col("text")).alias("key"))
+    keyed = staged(docs(spark, sf_dir).select("doc_id", hashing.content_key(F.col("text")).alias("key")), "keyed")
     return decisions.first_copies(keyed, "key", "doc_id").select("doc_id", F.col("first").alias("first_id"))
 
 
@@ -218,6 +219,7 @@ _COPIES = f"k AS (SELECT doc_id, source, {KEY('text')} AS key, substr(text, 1, 6
 )
 def d02(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "source", F.substring("text", 1, 60).alias("title"), hashing.content_key(F.col("text")).alias("key"))
+    d = staged(d, "keyed")
     found = decisions.first_copies(d, "key", "doc_id").filter("doc_id <> first").select("doc_id", "source", F.col("first").alias("kept_id"))
     kept = d.select(F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"), md5(F.col("title")).alias("kept_title"))
     return found.join(kept, "kept_id").select("doc_id", "source", "kept_id", "kept_source", "kept_title")
@@ -242,9 +244,10 @@ def f26(spark, sf_dir):
 )
 def a01(spark, sf_dir):
     """The flagship: clean, decide with reasons, drop copies, count."""
-    cleaned = raw(docs(spark, sf_dir)).select("doc_id", "source", tx.cleaned(F.col("text")).alias("text"))
+    d = raw(docs(spark, sf_dir)).select("doc_id", "source", F.col("text").alias("given"))
+    cleaned = tx.computed(d, "text", tx.cleaned(F.col("given"))).drop("given")
     decided = decisions.decided(cleaned, "doc_id", "text")
-    return decided.groupBy("source", "reason").agg(F.count("*").alias("documents"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return decided.groupBy("source", "reason").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
 
 
 @register(

@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the session has cores, if its files give fewer (one row group is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _to_remove: list[tuple[SparkSession, str]] = []
 
 
