@@ -83,3 +83,21 @@ def byte_lines(df: DataFrame, id_col: str, text_col: str, begin: int = 256, end:
     bytes_ = F.transform(F.regexp_extract_all(raw, F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
     ids = F.concat(F.array(F.lit(begin)), bytes_, F.array(F.lit(end)))
     return df.select(F.col(id_col), ids.alias("ids")).withColumn("n", F.size("ids"))
+
+
+def pair_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(a, b, n): neighbouring lower-cased words over all texts."""
+    from ..functions import text as tx
+
+    split = tx.computed(df.select(F.lower(text_col).alias("t")), "w", tx.words(F.col("t"))).filter(F.size("w") >= 2)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return split.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+def length_batches(df: DataFrame, id_col: str, size_col: str, batch: int, mega: int = 50) -> DataFrame:
+    """(id, mega, batch): rows fall by hash into mega-batches of about ``mega`` * ``batch`` rows, and by size into batches inside."""
+    n = df.count()
+    groups = max(1, n // (mega * batch))
+    d = df.select(F.col(id_col), F.col(size_col), F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("mega"))
+    w = Window.partitionBy("mega").orderBy(size_col, id_col)
+    return d.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch)).drop(size_col)

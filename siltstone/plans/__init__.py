@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("text_queries", "keyword_queries", "dedup_queries", "relational_queries", "split_queries", "stats_queries", "item_queries", "stream_queries", "convert_queries", "build_queries")
+MODULES = ("text_queries", "keyword_queries", "dedup_queries", "relational_queries", "split_queries", "stats_queries", "item_queries", "stream_queries", "convert_queries", "build_queries", "more_queries")
 
 
 def load() -> None:
