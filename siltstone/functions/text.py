@@ -139,15 +139,25 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def looks_english(text: Column, window: int = 8000, least: float = 0.10, few: int = 50, foreign: float = 0.005) -> Column:
-    """Few words, enough function words at the start or in the middle, or hardly a letter beyond ASCII."""
+def leading_words(text: Column, window: int = 8000) -> Column:
+    """The letter words that decide first whether a text is English."""
+    return words(F.substring(text, 1, window), LETTER_WORD)
+
+
+def looks_english(
+    text: Column, window: int = 8000, least: float = 0.10, few: int = 50, foreign: float = 0.005, head: Column | None = None
+) -> Column:
+    """Few words, enough function words at the start or in the middle, or hardly a letter beyond ASCII.
+
+    ``head`` is leading_words() where a column has them already.
+    """
     known = F.array(*[F.lit(w) for w in ENGLISH_WORDS])
 
     def share(found: Column) -> Column:
         hits = F.size(F.filter(found, lambda w: F.array_contains(known, F.lower(w))))
         return hits / F.greatest(F.size(found), F.lit(1))
 
-    head = words(F.substring(text, 1, window), LETTER_WORD)
+    head = leading_words(text, window) if head is None else head
     middle = words(F.substr(text, F.floor(F.length(text) / 2).cast("int") + 1, F.lit(window)), LETTER_WORD)
     letters = F.array_join(head, "")
     beyond = F.length(F.regexp_replace(letters, r"[\x00-\x7f]", "")) / F.greatest(F.length(letters), F.lit(1))

@@ -13,11 +13,11 @@ from ..functions.hashing import content_key
 from ..session import staged
 
 
-def reason(text: Column, min_chars: int = 200) -> Column:
+def reason(text: Column, min_chars: int = 200, head: Column | None = None) -> Column:
     """The first reason to drop a cleaned text, in the fixed order; null if there is none. Null text is 'missing_text'."""
     return (
         F.when(text.isNull(), "missing_text")
-        .when(~tx.looks_english(text), "not_english")
+        .when(~tx.looks_english(text, head=head), "not_english")
         .when(tx.replacement_ratio(text) > 0.02, "replacement_chars")
         .when(F.length(text) == 0, "empty")
         .when(F.length(text) < min_chars, "too_short")
@@ -39,7 +39,8 @@ def decided(df: DataFrame, order: str, text: str, min_chars: int = 200) -> DataF
 
     Texts are judged in one pass; what follows works on narrow rows that are written once.
     """
-    judged = tx.computed(df, "siltstone_early", reason(F.col(text), min_chars))
+    headed = tx.computed(df, "siltstone_head", tx.leading_words(F.col(text)))
+    judged = tx.computed(headed, "siltstone_early", reason(F.col(text), min_chars, F.col("siltstone_head"))).drop("siltstone_head")
     judged = judged.withColumns({"content_key": content_key(F.col(text)), "chars": F.length(text).cast("long")})
     judged = staged(judged.drop(text), "judged")
     left = judged.filter("siltstone_early is null")

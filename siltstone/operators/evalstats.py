@@ -35,9 +35,9 @@ def bootstrap(pairs: DataFrame, replicates: int, seed: str = "1") -> DataFrame:
     pairs(k, diff, bytes) with k from 0 on. The j-th draw of a replicate is a hash of both, so the
     draws are rows that any engine can make, and a join on the drawn index gets them their document.
     """
-    n = pairs.agg(F.count("*").alias("n"))
-    draws = pairs.select(F.col("k").alias("j")).crossJoin(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.select("replicate", F.pmod(hash60(F.lit(seed), F.col("replicate"), F.col("j")), F.col("n")).alias("k"))
+    n = pairs.count()
+    draws = pairs.select(F.col("k").alias("j")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = draws.select("replicate", F.pmod(hash60(F.lit(seed), F.col("replicate"), F.col("j")), F.lit(max(n, 1))).alias("k"))
     return draws.join(pairs, "k").groupBy("replicate").agg((F.sum("diff") / F.sum("bytes")).alias("delta"))
 
 
