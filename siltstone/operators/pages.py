@@ -56,3 +56,14 @@ def allowed(urls: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
     fits = own.join(F.broadcast(rules), "host").withColumn("rule", F.concat(F.lit("^"), pattern)).filter("siltstone_path rlike rule")
     best = fits.groupBy("host", "siltstone_path").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("b"))
     return own.join(best, ["host", "siltstone_path"], "left").withColumn("allowed", F.coalesce("b.allow", F.lit(True))).drop("b", "siltstone_path")
+
+
+def without_pdf_back_matter(lines: DataFrame, names: str = r"(?i)^(bibliography|acknowledg\w*|funding|author contributions|competing interests)$", most: int = 3000) -> DataFrame:
+    """lines(doc, pos, line) less reference lists and short back-matter sections; a long one under such a heading may be text, and stays."""
+    head = F.col("line").rlike("^#+ ")
+    run = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = lines.withColumn("section", F.sum(head.cast("int")).over(run))
+    title = F.trim(F.regexp_replace(F.min_by("line", "pos"), "^#+ ", ""))
+    by = d.groupBy("doc", "section").agg(title.alias("title"), F.sum(F.length("line")).alias("chars"))
+    gone = (F.col("section") > 0) & (F.lower("title").eqNullSafe("references") | (F.col("title").rlike(names) & (F.col("chars") <= most)))
+    return d.join(by.filter(gone).select("doc", "section"), ["doc", "section"], "left_anti").select(*lines.columns)

@@ -116,3 +116,45 @@ def t10(spark, sf_dir):
     c = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     run = c.withColumn("before", F.sum("p").over(Window.partitionBy("lang").orderBy(F.desc("p"), "source")) - F.col("p"))
     return run.filter("before < 0.5 - 1e-9").select("lang", "source", F.round("p", 6).alias("p"))
+
+
+@register("a08_group_chars", "SELECT source, key, count(*)::BIGINT AS size, sum(n_chars)::BIGINT AS chars FROM (SELECT source, md5(lower(text)) AS key, n_chars FROM documents) GROUP BY source, key")
+def a08(spark, sf_dir):
+    return docs(spark, sf_dir).select("source", md5(F.lower("text")).alias("key"), "n_chars").groupBy("source", "key").agg(F.count("*").alias("size"), F.sum("n_chars").alias("chars"))
+
+
+@register("f14_navigation")
+def f14(spark, sf_dir):
+    from ..functions import convert
+
+    p = table(spark, sf_dir, "pages").select("page_id", convert.html_page("html").alias("p"))
+    return p.select("page_id", "p.link_share", (F.col("p.navigation") == 1).alias("navigation"))
+
+
+_sql("s10_source_table", "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'bad url' WHEN page_id % 4 = 0 THEN 'unknown kind' END AS fault FROM pages WHERE page_id % 36 <> 0",
+     "SELECT page_id, CASE WHEN NOT k IN ('site', 'page') THEN 'unknown kind' WHEN NOT u RLIKE '^https?://[^/]+' THEN 'bad url' END AS fault FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'blog' ELSE 'site' END AS k, CASE WHEN page_id % 9 = 0 THEN 'nowhere' ELSE url END AS u FROM pages WHERE page_id % 36 <> 0)")
+_sql("s19_search_page", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey < 40",
+     "SELECT o_custkey, r.id AS o_orderkey, r.s AS o_orderstatus FROM (SELECT o_custkey, explode(from_json(j, 'struct<hits:array<struct<id:bigint,s:string>>>').hits) AS r FROM (SELECT o_custkey, to_json(named_struct('hits', collect_list(named_struct('id', o_orderkey, 's', o_orderstatus)))) AS j FROM orders WHERE o_custkey < 40 GROUP BY o_custkey))")
+@register(
+    "x17_pdf_back_matter",
+    """WITH l AS (SELECT doc_id, unnest(['# Body', 'b', '# Funding', text, '# References', text || text, '# Appendix', 'z']) AS line, generate_subscripts([1,2,3,4,5,6,7,8], 1) - 1 AS pos, length(text) AS n FROM documents)
+    SELECT doc_id AS doc, pos::INTEGER AS pos, md5(line) AS line FROM l WHERE pos NOT IN (4, 5) AND NOT (pos IN (2, 3) AND n + 9 <= 3000)""",
+)
+def x17(spark, sf_dir):
+    parts = F.array(F.lit("# Body"), F.lit("b"), F.lit("# Funding"), F.col("text"), F.lit("# References"), F.concat("text", "text"), F.lit("# Appendix"), F.lit("z"))
+    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(parts).alias("pos", "line"))
+    return pages.without_pdf_back_matter(lines).select("doc", "pos", md5(F.col("line")).alias("line"))
+
+
+@register("x24_sample_windows")
+def x24(spark, sf_dir):
+    import pandas as pd
+
+    from ..functions import convert
+
+    def windows(batches):
+        for pdf in batches:
+            rows = [(i, w, len(p)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for w, p in convert.sample_windows(t or "")]
+            yield pd.DataFrame(rows, columns=["doc_id", "window", "chars"])
+
+    return docs(spark, sf_dir).select("doc_id", "text").mapInPandas(windows, "doc_id long, window long, chars long")

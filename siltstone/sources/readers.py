@@ -181,3 +181,68 @@ def probes(spark: SparkSession, path: str) -> DataFrame:
     five = F.size("p") == 5
     at = lambda k, j: F.when(five, F.get("p", F.lit(k))).otherwise(F.get("p", F.lit(j)) if j is not None else F.lit(""))
     return p.select(at(0, None).alias("category"), at(1, None).alias("difficulty"), at(2, 0).alias("prompt"), at(3, 1).alias("answer"), F.split(at(4, 2), r"\|").alias("distractors"))
+
+
+# What the columns of association tables are called.
+GWAS_NAMES = {
+    "snp": ("snp", "rsid", "id", "markername", "variant_id", "snpid"),
+    "chromosome": ("chr", "chrom", "chromosome", "#chrom", "hm_chrom"),
+    "position": ("bp", "pos", "position", "genpos", "base_pair_location", "hm_pos"),
+    "p": ("p", "pval", "pvalue", "p_value", "p-value", "p_bolt_lmm"),
+    "log10p": ("log10p", "neglog10p", "mlog10p", "neg_log_10_p_value"),
+}
+GWAS_NULLS = ("NA", "nan", "NaN", "", ".", "-")
+
+
+def gwas_columns(columns: list[str]) -> dict[str, str]:
+    """Which column of a table is which, by the names in use."""
+    low = {c.lower(): c for c in columns}
+    return {k: next(low[n] for n in names if n in low) for k, names in GWAS_NAMES.items() if any(n in low for n in names)}
+
+
+def gwas(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """(snp, chromosome, position, strength): strength is -log10 p; rows without a position or a p-value in (0, 1] are left out."""
+    d = spark.read.option("sep", sep).option("header", "true").option("quote", "").csv(path)
+    names = gwas_columns(d.columns)
+    if "position" not in names or not {"p", "log10p"} & set(names):
+        raise ValueError(f"{path} has no position or no p-value: {d.columns}")
+
+    def value(key: str):
+        c = F.trim(F.col(f"`{names[key]}`"))
+        return F.when(~c.isin(*GWAS_NULLS), F.replace(c, F.lit(","), F.lit(".")) if sep == ";" else c)
+
+    if "log10p" in names:
+        strength = value("log10p").try_cast("double")
+    else:  # by mantissa and exponent, for p-values below what a double holds
+        m, e = F.regexp_extract(value("p"), r"^([0-9.]+)", 1).try_cast("double"), F.regexp_extract(value("p"), r"[eE]([+-]?\d+)$", 1)
+        strength = F.when(m > 0, -(F.log10(m) + F.coalesce(e.try_cast("int"), F.lit(0))))
+    out = d.select(
+        (value("snp") if "snp" in names else F.lit(None).cast("string")).alias("snp"),
+        (F.regexp_replace(F.lower(value("chromosome")), "^chr", "") if "chromosome" in names else F.lit(None).cast("string")).alias("chromosome"),
+        value("position").try_cast("double").cast("long").alias("position"),
+        strength.alias("strength"),
+    )
+    return out.filter("position is not null and strength >= 0")
+
+
+def verified(spark: SparkSession, folder: str, expected: dict[str, tuple[int, str]]) -> DataFrame:
+    """(name, ok): files against their sizes and SHA-256; names that lead out of the folder are refused."""
+    for name in expected:
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"{name} leads out of {folder}")
+    want = spark.createDataFrame([(n, s, h) for n, (s, h) in expected.items()], "name string, size long, sha string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = re.sub("^file:/+", "/", folder.rstrip("/")) + "/"
+    path = F.regexp_replace("path", "^file:/+", "/")
+    have = files.select(F.substr(path, F.instr(path, root) + F.lit(len(root))).alias("name"), "length", F.sha2("content", 256).alias("digest"))
+    return want.join(have, "name", "left").select("name", F.coalesce((F.col("size") == F.col("length")) & (F.col("sha") == F.col("digest")), F.lit(False)).alias("ok"))
+
+
+def source_table(rows: DataFrame, kinds: tuple[str, ...] = ("site", "github", "pdf", "page")) -> DataFrame:
+    """rows(name, kind, url) with fault: what is wrong with each, all at once; repeated rows are left out."""
+    fault = (
+        F.when(~F.coalesce(F.col("name"), F.lit("")).rlike("^[A-Za-z][A-Za-z0-9_-]{0,63}$"), "bad name")
+        .when(~F.coalesce(F.col("kind"), F.lit("")).isin(*kinds), "unknown kind")
+        .when(~F.coalesce(F.col("url"), F.lit("")).rlike(r"^https?://[^/\s]+(/\S*)?$"), "bad url")
+    )
+    return rows.dropDuplicates(["name", "kind", "url"]).withColumn("fault", fault)

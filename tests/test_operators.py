@@ -211,3 +211,32 @@ def test_build(spark):
 def test_portable_and_compatible_hashes(spark):
     assert 0 <= blake_unit("58", "sample", "a") < 1
     assert one(spark, " A  b", content_key) == one(spark, "a b ", content_key)
+
+
+def test_more_converters():
+    assert convert.numbered_citations("a [@x; @y] b [@y] c [no]") == "a [1, 2] b [2] c [no]"
+    assert convert.markdown_tidy("a b​ \\# \n\n\n\n```\nkeep  \\# \n```") == "a b #\n\n```\nkeep  \\# \n```"
+    pieces = convert.sample_windows("x" * 10_000 + "\n\nshort")
+    assert [len(p) for _, p in pieces] == [4000, 4000, 2000, 5] and [w for w, _ in pieces] == [0, 1, 2, 2]
+    assert convert.formatted_p(320.0) == "1.0e-320" and convert.formatted_p(1.0) == "0.1" and convert.formatted_p(8.5) == "3.2e-9"
+    page = convert.oai_page('<OAI-PMH xmlns="x"><ListRecords><record><header><identifier>1</identifier><datestamp>d</datestamp></header><metadata><dc><title>T</title></dc></metadata></record>'
+                            '<record><header status="deleted"><identifier>2</identifier></header></record><resumptionToken>tok</resumptionToken></ListRecords></OAI-PMH>')
+    assert [r["id"] for r in page["records"]] == ["1"] and page["records"][0]["fields"] == {"title": "T"} and page["token"] == "tok"
+    assert convert.log_history("step 10 loss 2.5\nstep 20 loss 2.0\nstep 10 loss 2.4") == [{"step": 10, "loss": 2.4}, {"step": 20, "loss": 2.0}]
+
+
+def test_gwas_and_verified_files(spark, tmp_path):
+    import hashlib
+
+    f = tmp_path / "g.tsv"
+    f.write_text("SNP\tCHR\tBP\tP\nrs1\tchr1\t100\t3e-9\nrs2\t\t200\t1e-320\nrs3\t2\t300\t0\nrs4\t2\t\t0.5\nrs5\t2\t500\tNA\n")
+    got = {r["snp"]: (r["chromosome"], r["position"], round(r["strength"], 4)) for r in readers.gwas(spark, str(f)).collect()}
+    assert got == {"rs1": ("1", 100, 8.5229), "rs2": (None, 200, 320.0)}
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.bin").write_bytes(b"abc")
+    good = (3, hashlib.sha256(b"abc").hexdigest())
+    assert {r["name"]: r["ok"] for r in readers.verified(spark, str(tmp_path / "v"), {"a.bin": good, "b.bin": good}).collect()} == {"a.bin": True, "b.bin": False}
+    with pytest.raises(ValueError):
+        readers.verified(spark, str(tmp_path), {"../x": good})
+    rows = spark.createDataFrame([("a", "site", "https://a.org"), ("a", "site", "https://a.org"), ("9", "site", "https://a.org"), ("b", "x", "https://a.org"), ("c", "pdf", "a.org")], "name string, kind string, url string")
+    assert sorted((r["name"], r["fault"] or "") for r in readers.source_table(rows).collect()) == [("9", "bad name"), ("a", ""), ("b", "unknown kind"), ("c", "bad url")]
