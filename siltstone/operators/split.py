@@ -24,9 +24,8 @@ def group_split(
 
     Groups that span sources or are too large a part of the budget train; one that would overfill it
     is passed over. ``settled`` (root, split) fixes groups first, and those of validation take their
-    part of the budget. The fold needs a source's small groups in order, and only the groups that can
-    enter at all take part in it: at most ``share`` of the budget each, none across sources, and of
-    these only the leading ones by unit that together overfill the budget several times.
+    part of the budget. The fold is sequential by definition: it holds one array a source, of the
+    groups that can enter at all (small enough, of one source, not settled), a few numbers each.
     """
     g = groups(df, seed)
     g = g.withColumn("fixed", F.lit(None).cast("string")) if settled is None else g.join(settled.withColumnRenamed("split", "fixed"), "root", "left")
