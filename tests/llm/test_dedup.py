@@ -167,3 +167,49 @@ def test_epsilon_join(spark):
     assert {i: got[i] for i in range(len(x))} == {i: (int(linked[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))}
     assert all(got[i] == (0, i, True) for i, _ in odd if i is not None)
     assert epsilonjoin.near_duplicates(d.limit(0)).count() == 0
+
+
+def run_sets(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(WORD, text)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stage_finds_edited_copies(spark):
+    """Planted copies of 0.8 and more go; op3's contract setting left nearly all of them."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(4), edge_rows()
+    for k in range(100, 130):
+        base = prose(rng.randint(60, 400)).split()
+        rows.append((k, " ".join(base)))
+        for j in range(1, 5):
+            edited = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) * j // 70)):
+                edited[at] = f"edit{k}x{at}"
+            rows.append((1000 * j + k, " ".join(edited)))
+    # copies of each other only around a text that is not the first of them
+    hub = prose(300).split()
+    for j in range(12):
+        edited = list(hub)
+        for at in rng.sample(range(300), 6):
+            edited[at] = f"spoke{j}x{at}"
+        rows.append((6000 + j, " ".join(edited)))
+    rows.append((7000, " ".join(hub)))
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            sets.setdefault(i, []).append(run_sets(t))
+
+    def linked(a, b):
+        return any(x == y or 10 * len(x & y) >= 8 * len(x | y) for x in sets[a] for y in sets[b])
+
+    want = components(sorted(sets), linked)
+    assert sum(i != root for i, root in want.items() if i >= 100) > 50
+    kept = corpus_pipeline.near_dedup(spark, d, "")
+    assert kept.columns == d.columns
+    got = kept.collect()
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None} == set(want.values())
+    assert sum(r["doc_id"] is None for r in got) == 2
+    assert corpus_pipeline.near_dedup(spark, d.limit(0), "").count() == 0
