@@ -74,8 +74,8 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("term").agg(F.min(F.struct("at", "k")).alias("first")).orderBy("first").select("term")
 
 
-def word_table(df: DataFrame, id_col: str, text: Column, chars: int | None = 100_000, ahead: int = 8) -> DataFrame:
-    """(id, word, next): every word with the words that follow it, of the first ``chars`` characters."""
+def word_table(df: DataFrame, id_col: str, text: Column, chars: int | None = None, ahead: int = 8) -> DataFrame:
+    """(id, word, next): every word with the words that follow it; ``chars`` limits it to the first so many characters."""
     body = text if chars is None else F.substring(text, 1, chars)
     found = tx.computed(df.select(F.col(id_col).alias("id"), body.alias("body")), "w", tx.words(F.col("body")))
     # the few words that follow are cut before the words become rows, so that no row carries its document

@@ -240,3 +240,22 @@ def test_gwas_and_verified_files(spark, tmp_path):
         readers.verified(spark, str(tmp_path), {"../x": good})
     rows = spark.createDataFrame([("a", "site", "https://a.org"), ("a", "site", "https://a.org"), ("9", "site", "https://a.org"), ("b", "x", "https://a.org"), ("c", "pdf", "a.org")], "name string, kind string, url string")
     assert sorted((r["name"], r["fault"] or "") for r in readers.source_table(rows).collect()) == [("9", "bad name"), ("a", ""), ("b", "unknown kind"), ("c", "bad url")]
+
+
+def test_keyword_queries_read_whole_texts(spark, tmp_path):
+    """Words behind the first 100,000 characters count like any other."""
+    from siltstone.plans import catalog, load
+
+    load()
+    filler = "xx " * 40_000
+    rows = [(1, filler + "that la der", "en", "s"), (2, "that la nation of the " * 3 + filler + "von", "en", "s"), (3, "that la nation of the " * 3 + filler, "en", "s")]
+    d = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["term"]: r["hits"] for r in run("j01_single_terms") if r["doc_id"] == 1} == {"that": 1, "la": 1, "der": 1}
+    assert {r["doc_id"]: r["reason"] for r in run("f04_keyword_filter")} == {1: "", 2: "keyword_excluded", 3: ""}
+    assert {r["term"]: r["documents"] for r in run("a31_term_document_frequency")}["der"] == 1
+    assert {r["hits"] for r in run("a02_keyword_totals") if r["term"] == "that"} == {7}
+    density = {r["doc_id"]: r["density"] for r in run("t02_rank_density")}
+    assert density[1] == round(3 / 40_003**0.5, 6)
+    assert {r["doc_id"] for r in run("t01_top_density")} == {1, 2, 3}
