@@ -20,29 +20,36 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, most: int = 10_000) -> DataFrame:
-    """(query, id, cosine): the k rows nearest to each of a few queries (``most`` at most; more need an index).
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, group: int = 1_000, part: int = 20_000) -> DataFrame:
+    """(query, id, cosine): the k rows nearest to each query, however many there are.
 
-    The queries travel to the rows; each task keeps its own k best a query before the shuffle.
+    Queries are dealt into groups of about ``group`` by a hash of their ids, rows into parts of about
+    ``part`` at most; each group meets each part once and keeps k rows a query, and the best of
+    those are taken.
     """
-    held = queries.select(id_col, vector_col).limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} queries")
-    ids = np.array([r[0] for r in held], np.int64)
-    q = np.array([r[1] for r in held], np.float64)
-    if not len(ids):
-        return rows.select(F.col(id_col).alias("query"), F.col(id_col), F.lit(0.0).alias("cosine")).limit(0)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-    def best(batches):
-        for pdf in batches:
-            own = pdf[id_col].to_numpy()
-            x = np.array(pdf[vector_col].tolist(), np.float64)
-            c = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-            c[ids[:, None] == own[None, :]] = -np.inf
+    groups = max(1, -(-queries.count() // group))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // part))
+    dealt = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    values = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
+    sent = queries.select(dealt(groups).alias("g"), every(parts).alias("p"), *values)
+    met = rows.select(every(groups).alias("g"), dealt(parts).alias("p"), *values)
+
+    def best(left, right):
+        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
+        if not len(ids) or not len(own):
+            return left.iloc[:0][["id"]].assign(query=0, cosine=0.0)[["query", "id", "cosine"]]
+        a, b = (np.array(t["v"].tolist(), np.float64) for t in (left, right))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        out = []
+        for at in range(0, len(ids), 256):  # bounds the matrix of cosines
+            c = np.round(a[at : at + 256] @ b.T, 6)
+            c[ids[at : at + 256, None] == own[None, :]] = -np.inf
             order = np.lexsort((np.broadcast_to(own, c.shape), -c), axis=1)[:, :k]
-            yield type(pdf)({"query": np.repeat(ids, order.shape[1]), id_col: own[order].ravel(), "cosine": np.take_along_axis(c, order, 1).ravel()})
+            out.append(type(left)({"query": np.repeat(ids[at : at + 256], order.shape[1]), "id": own[order].ravel(), "cosine": np.take_along_axis(c, order, 1).ravel()}))
+        return type(left)({n: np.concatenate([o[n] for o in out]) for n in ("query", "id", "cosine")})
 
-    found = rows.select(id_col, vector_col).mapInPandas(best, f"query long, {id_col} long, cosine double").filter(F.col("cosine") > float("-inf"))
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), id_col)
-    return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+    found = sent.groupBy("g", "p").cogroup(met.groupBy("g", "p")).applyInPandas(best, "query long, id long, cosine double").filter(F.col("cosine") > float("-inf"))
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("query", F.col("id").alias(id_col), "cosine")

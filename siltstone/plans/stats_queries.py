@@ -182,6 +182,15 @@ def a34(spark, sf_dir):
     return vectors.nearest(e.filter("vec_id < 10"), e, "vec_id", "embedding", 5)
 
 
+@register("a34_cosine_topk_all")
+def a34_all(spark, sf_dir):
+    """The search with every query of the table: rows whose id is divisible by 50."""
+    from ..operators import vectors
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
+
+
 @register("a34_row_norms", "SELECT label, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS norm FROM embeddings GROUP BY label")
 def a34n(spark, sf_dir):
     from ..operators import vectors

@@ -259,3 +259,24 @@ def test_keyword_queries_read_whole_texts(spark, tmp_path):
     density = {r["doc_id"]: r["density"] for r in run("t02_rank_density")}
     assert density[1] == round(3 / 40_003**0.5, 6)
     assert {r["doc_id"] for r in run("t01_top_density")} == {1, 2, 3}
+
+
+@pytest.mark.parametrize(("group", "part"), [(1_000, 20_000), (3, 50)])
+def test_nearest_of_every_query(spark, tmp_path, group, part):
+    """Every id divisible by 50 is a query, against all rows, in groups as in one."""
+    import numpy as np
+
+    from siltstone.operators import vectors
+    from siltstone.plans import catalog, load
+
+    load()
+    x = np.random.default_rng(2).normal(size=(600, 8)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosines = np.round(u @ u.T, 6)
+    want = {(q, i) for q in range(0, 600, 50) for i in sorted((i for i in range(600) if i != q), key=lambda i: (-cosines[q, i], i))[:5]}
+    got = vectors.nearest(d.filter("vec_id % 50 = 0"), d, "vec_id", "embedding", 5, group, part).collect()
+    assert len(got) == 60 and {(r["query"], r["vec_id"]) for r in got} == want
+    d.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {(r["query"], r["vec_id"]) for r in catalog.QUERIES["a34_cosine_topk_all"](spark, str(tmp_path)).collect()} == want
+    assert vectors.nearest(d.limit(0), d, "vec_id", "embedding", 5).count() == 0
