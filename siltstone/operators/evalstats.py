@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hash60
+from ..session import staged
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -29,16 +30,28 @@ def accuracy(items: DataFrame) -> DataFrame:
     return by.select("tag", "category", "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round("chance", 6).alias("chance"))
 
 
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with k from 0 on in the order of ``by``: counted by ranges, so that no window holds all rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism * 4
+    parts = staged(df.repartitionByRange(n, by).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return parts.join(F.broadcast(before), "part").withColumn("k", (F.col("before") + rank).cast("long")).drop("part", "before")
+
+
 def bootstrap(pairs: DataFrame, replicates: int, seed: str = "1") -> DataFrame:
     """(replicate, delta): the mean difference per byte over documents drawn with replacement.
 
     pairs(k, diff, bytes) with k from 0 on. The j-th draw of a replicate is a hash of both, so the
-    draws are rows that any engine can make, and a join on the drawn index gets them their document.
+    draws are rows that any engine can make. They are counted by the index they draw before a join
+    gets them their document.
     """
     n = pairs.count()
     draws = pairs.select(F.col("k").alias("j")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.select("replicate", F.pmod(hash60(F.lit(seed), F.col("replicate"), F.col("j")), F.lit(max(n, 1))).alias("k"))
-    return draws.join(pairs, "k").groupBy("replicate").agg((F.sum("diff") / F.sum("bytes")).alias("delta"))
+    times = draws.groupBy("k", "replicate").agg(F.count("*").alias("times"))
+    return times.join(pairs, "k").groupBy("replicate").agg((F.sum(F.col("diff") * F.col("times")) / F.sum(F.col("bytes") * F.col("times"))).alias("delta"))
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:

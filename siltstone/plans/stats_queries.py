@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import unit, unit_sql
 from ..operators import evalstats, relational
+from ..session import staged
 from .catalog import register
 from .common import docs, table
 from .relational_queries import _sql
@@ -53,9 +54,18 @@ _sql(
     SELECT count(*)::BIGINT AS replicates, round(1e6 * quantile_cont(delta, 0.025), 4) AS low, round(1e6 * quantile_cont(delta, 0.975), 4) AS high, round(2 * least(avg((delta <= 0)::INT), avg((delta >= 0)::INT)), 6) AS p FROM d""",
 )
 def a20(spark, sf_dir):
-    d = docs(spark, sf_dir).filter("doc_id < 400")
-    w = Window.orderBy("doc_id")
-    pairs = d.select((F.row_number().over(w) - 1).cast("long").alias("k"), (unit("a", F.col("doc_id")) - unit("b", F.col("doc_id"))).alias("diff"), F.col("n_chars").cast("double").alias("bytes"))
+    return _bootstrap(docs(spark, sf_dir).filter("doc_id < 400"))
+
+
+@register("a20_bootstrap_all")
+def a20_all(spark, sf_dir):
+    """The bootstrap over all documents."""
+    return _bootstrap(docs(spark, sf_dir))
+
+
+def _bootstrap(d):
+    rows = d.select("doc_id", (unit("a", F.col("doc_id")) - unit("b", F.col("doc_id"))).alias("diff"), F.col("n_chars").cast("double").alias("bytes"))
+    pairs = staged(evalstats.numbered(rows, "doc_id").select("k", "diff", "bytes"), "pairs")
     r = evalstats.bootstrap(pairs, 200)
     sides = [F.avg((F.col("delta") <= 0).cast("int")), F.avg((F.col("delta") >= 0).cast("int"))]
     return r.agg(F.count("*").alias("replicates"), F.round(1e6 * F.percentile("delta", 0.025), 4).alias("low"), F.round(1e6 * F.percentile("delta", 0.975), 4).alias("high"), F.round(2 * F.least(*sides), 6).alias("p"))

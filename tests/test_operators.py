@@ -280,3 +280,26 @@ def test_nearest_of_every_query(spark, tmp_path, group, part):
     d.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {(r["query"], r["vec_id"]) for r in catalog.QUERIES["a34_cosine_topk_all"](spark, str(tmp_path)).collect()} == want
     assert vectors.nearest(d.limit(0), d, "vec_id", "embedding", 5).count() == 0
+
+
+def test_bootstrap_over_all_documents(spark, tmp_path):
+    """Documents of any id take part; held against draws made one by one."""
+    import hashlib
+
+    import numpy as np
+
+    from siltstone.functions.hashing import unit
+    from siltstone.plans import catalog, load
+
+    load()
+    d = spark.createDataFrame([(7 * i + 3, 100 + i % 13) for i in range(150)], "doc_id long, n_chars long")
+    d.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = d.select("doc_id", (unit("a", F.col("doc_id")) - unit("b", F.col("doc_id"))).alias("diff"), "n_chars").orderBy("doc_id").collect()
+    deltas = []
+    for r in range(200):
+        at = [int(hashlib.md5(f"1\x1f{r}\x1f{j}".encode()).hexdigest()[:15], 16) % 150 for j in range(150)]
+        deltas.append(sum(rows[k]["diff"] for k in at) / sum(rows[k]["n_chars"] for k in at))
+    got = catalog.QUERIES["a20_bootstrap_all"](spark, str(tmp_path)).first()
+    assert got["replicates"] == 200
+    assert abs(got["low"] - 1e6 * np.quantile(deltas, 0.025)) < 1e-3 and abs(got["high"] - 1e6 * np.quantile(deltas, 0.975)) < 1e-3
+    assert got["p"] == round(2 * min(np.mean([x <= 0 for x in deltas]), np.mean([x >= 0 for x in deltas])), 6)
