@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import staged
+
 
 def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
@@ -73,8 +75,16 @@ def piece_category(piece: Column) -> Column:
 
 def documents_of(stream: DataFrame, pos: str, token: str, begin: int, part: str | None = None) -> DataFrame:
     """``stream`` with document, the number of begin tokens up to each place; by ``part`` where a stream has parts."""
-    over = (Window.partitionBy(part) if part else Window.partitionBy(F.lit(0))).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return stream.withColumn("document", F.sum(F.when(F.col(token) == begin, 1).otherwise(0)).over(over))
+    begins = F.when(F.col(token) == begin, 1).otherwise(0)
+    if part:
+        return stream.withColumn("document", F.sum(begins).over(Window.partitionBy(part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
+    # by ranges of places, so that no window holds the whole stream
+    n = stream.sparkSession.sparkContext.defaultParallelism * 4
+    dealt = staged(stream.repartitionByRange(n, pos).withColumn("range_", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("range_").agg(F.sum(begins).alias("own"))
+    before = sums.select("range_", (F.sum("own").over(Window.orderBy("range_")) - F.col("own")).alias("before_"))  # a row a range
+    within = Window.partitionBy("range_").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(before), "range_").withColumn("document", F.col("before_") + F.sum(begins).over(within)).drop("range_", "before_")
 
 
 def byte_lines(df: DataFrame, id_col: str, text_col: str, begin: int = 256, end: int = 257) -> DataFrame:

@@ -140,7 +140,16 @@ def j09(spark, sf_dir):
     "WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS other, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0 AND n_chars > 100) SELECT a.doc_id, b.other FROM a JOIN b USING (source, k)",
 )
 def j10(spark, sf_dir):
-    d = docs(spark, sf_dir).filter("doc_id % 2 = 0")
+    return _positional(docs(spark, sf_dir).filter("doc_id % 2 = 0"))
+
+
+@register("j10_positional_all")
+def j10_all(spark, sf_dir):
+    """The join over all documents."""
+    return _positional(docs(spark, sf_dir))
+
+
+def _positional(d):
     w = Window.partitionBy("source").orderBy("doc_id")
     a = d.select("doc_id", "source", F.row_number().over(w).alias("k"))
     b = d.filter("n_chars > 100").select(F.col("doc_id").alias("other"), "source", F.row_number().over(w).alias("k"))
@@ -257,7 +266,16 @@ def tk07(spark, sf_dir):
 @register("s15_documents_of_stream", """WITH t AS (SELECT doc_id, unnest([1] || list_transform(string_split(lang || source, ''), lambda c: ascii(c)) || [2]) AS token FROM documents WHERE doc_id < 300), n AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id)
 SELECT row_number() OVER (ORDER BY doc_id)::BIGINT AS document, n FROM n""")
 def s15(spark, sf_dir):
-    d = docs(spark, sf_dir).filter("doc_id < 300")
+    return _of_stream(docs(spark, sf_dir).filter("doc_id < 300"))
+
+
+@register("s15_documents_of_stream_all")
+def s15_all(spark, sf_dir):
+    """The stream of all documents."""
+    return _of_stream(docs(spark, sf_dir))
+
+
+def _of_stream(d):
     ids = F.concat(F.array(F.lit(1)), F.transform(F.split(F.concat("lang", "source"), ""), lambda c: F.ascii(c)), F.array(F.lit(2)))
     stream = d.select("doc_id", F.posexplode(ids).alias("k", "token")).withColumn("pos", F.col("doc_id") * 1000 + F.col("k"))
     return tokens.documents_of(stream, "pos", "token", begin=1).groupBy("document").agg(F.count("*").alias("n"))

@@ -303,3 +303,21 @@ def test_bootstrap_over_all_documents(spark, tmp_path):
     assert got["replicates"] == 200
     assert abs(got["low"] - 1e6 * np.quantile(deltas, 0.025)) < 1e-3 and abs(got["high"] - 1e6 * np.quantile(deltas, 0.975)) < 1e-3
     assert got["p"] == round(2 * min(np.mean([x <= 0 for x in deltas]), np.mean([x >= 0 for x in deltas])), 6)
+
+
+def test_whole_tables_take_part(spark, data):
+    """Stream, pages and positional join over rows of every id."""
+    from siltstone.plans import catalog, load
+
+    load()
+    run = lambda name: catalog.QUERIES[name](spark, data).collect()
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").collect()
+    want = {k: 2 + len(r["lang"] + r["source"]) for k, r in enumerate(d, 1)}
+    assert {r["document"]: r["n"] for r in run("s15_documents_of_stream_all")} == want
+    pairs = []
+    for s in {r["source"] for r in d}:
+        own = [r for r in d if r["source"] == s]
+        pairs += zip([r["doc_id"] for r in own], [r["doc_id"] for r in own if r["n_chars"] > 100])
+    assert sorted((r["doc_id"], r["other"]) for r in run("j10_positional_all")) == sorted(pairs)
+    events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_id").collect()
+    assert sorted(map(tuple, run("s18_rest_page_all"))) == sorted(map(tuple, events))
