@@ -1,4 +1,7 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against the blocks of every document.
+"""Substring duplicates by content-anchored window hashing, against the blocks of every document.
+
+This takes the place of a greedy relative Lempel-Ziv parse: no factor is extended. "Factor" below
+means a stretch that an earlier document has.
 
 A window is ``WINDOW`` consecutive words of a document. Each document is cut into reference blocks
 by its content alone: every window is owned by the run of ``GRAM`` words in it whose hash is
