@@ -1,27 +1,30 @@
-"""Substring duplicates by content-anchored window hashing, against the blocks of every document.
-
-This takes the place of a greedy relative Lempel-Ziv parse: no factor is extended. "Factor" below
-means a stretch that an earlier document has.
+"""Substring duplicates by relative Lempel-Ziv parsing against the blocks of every document.
 
 A window is ``WINDOW`` consecutive words of a document. Each document is cut into reference blocks
 by its content alone: every window is owned by the run of ``GRAM`` words in it whose hash is
 smallest (the block's anchor), and a block is what the windows of one anchor cover. Equal windows
-own equal anchors wherever they stand, so only blocks of one anchor need to be held against
-each other.
-
-1. Index: (anchor, block) -> smallest document that has it, for every block of every document.
-   A copy that comes later is one factor: all its windows start in a document with a smaller id,
-   whatever stands around it.
-2. Where an anchor has blocks of different content, factors end inside them. There the first
-   document of each such content is parsed window by window: (anchor, window) -> smallest document.
-   Later copies of that content were settled in 1, so this index has a text once, not once a copy.
-3. A document's covered words are those of the windows that belong to a settled block, or whose
-   own first document is smaller. Windows that cross from one factor to the next are among them.
-
-Blocks and windows are known by two 64-bit hashes at once (the anchor's and their own). A doc_id
-shared by several rows counts as one document. Rows with a null id are neither indexed nor cut.
-Null and empty texts, and texts under ``WINDOW`` words, keep all they have. An empty table gives
-an empty result. Input columns named like an output are replaced; all others are passed on.
+own equal anchors wherever they stand, so a factor of WINDOW words or more can only come from the
+reference blocks of the anchors in it, and these are what the index brings together.
+
+1. Index: (anchor, block) -> smallest document that has it, for every block of every document. A
+   block that an earlier document has whole is one factor.
+2. Any other block is parsed greedily against the blocks that earlier documents have for its anchor.
+   Laid against each other at the anchor, every reference is extended word by word to both sides as
+   far as it agrees; from the place that the parse has reached, the reference that goes furthest
+   gives the factor. A factor of WINDOW words or more becomes a span. The parse goes on at its
+   boundary: with the first window that crosses it, which may lie in another reference, and word by
+   word from there where it has no factor.
+3. A document's covered words are those of its spans.
+
+An anchor with more than ``REFERENCES`` different blocks is not held in one task. There the windows
+of each of its blocks are looked up singly, (anchor, window) -> smallest document, which is a join
+that Spark deals out, and gives the spans of the parse.
+
+Words, anchors, blocks and windows are known by 64-bit hashes; a block or window counts as equal if its
+anchor is as well. A doc_id shared by several rows counts as one document. Rows with a null id are
+neither indexed nor cut. Null and empty texts, and texts under ``WINDOW`` words, keep all they have.
+An empty table gives an empty result. Input columns named like an output are replaced by
+dedup_substrings(); strip_substrings() has no outputs of its own and keeps them all.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ from .textkit import Rolling, Words, mix, slices, sliding_min, text_buffers, xxh
 
 WINDOW = 50
 GRAM = 8
+#: Different blocks of one anchor that are parsed against each other in one task.
+REFERENCES = 256
 
 #: A run's rank among the runs of a window: this many bits of its hash, then its place (leftmost first).
 _PLACE_BITS = 30
@@ -49,7 +54,7 @@ class Blocks:
     """The windows of some rows, and the blocks that own them.
 
     words; row, start: of each window its row and its first word; block: of each window its block;
-    anchor, content: hashes of each block.
+    owner, anchor, content: of each block its row and its hashes.
     """
 
     def __init__(self, column: pa.Array, window: int, gram: int) -> None:
@@ -62,8 +67,10 @@ class Blocks:
         if not len(self.start):
             self.block = self.owner = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
+            self.head = self.size = self.offset = self.before = np.zeros(0, np.int64)
             return
-        self.rolling = Rolling(xxh64(words.data, words.starts, words.ends))
+        self.hashes = xxh64(words.data, words.starts, words.ends)
+        self.rolling = Rolling(self.hashes)
         at = np.arange(len(words.starts) - gram + 1)
         grams = self.rolling.of(at, at + gram)
         ranked = (grams >> np.uint64(_PLACE_BITS)) << np.uint64(_PLACE_BITS) | at.astype(np.uint64)
@@ -74,6 +81,10 @@ class Blocks:
         tail = np.append(head[1:], len(place)) - 1
         self.block = np.cumsum(new) - 1
         self.owner = self.row[head]
+        # of each block its first word, its windows and the words ahead of its anchor; of each window the words ahead of its anchor
+        self.head, self.size = self.start[head], tail - head + 1
+        self.offset = place[head] - self.head
+        self.before = place - self.start
         self.anchor = grams[place[head]]
         inside = self.rolling.of(self.start[head], self.start[tail] + window)
         with np.errstate(over="ignore"):  # where the anchor stands in the block is part of what it is
@@ -112,7 +123,81 @@ def _among(rows: np.ndarray, values: np.ndarray, column: pa.Array) -> np.ndarray
     return out
 
 
+def _reach(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many leading words of ``own`` each of ``others`` has."""
+    out = np.empty(len(others), np.int64)
+    for k, x in enumerate(others):
+        n = min(len(own), len(x))
+        differ = own[:n] != x[:n]
+        at = int(differ.argmax()) if n else 0
+        out[k] = at if n and differ[at] else n
+    return out
+
+
+def factors(own: np.ndarray, offset: int, references: list[tuple[np.ndarray, int]], window: int) -> list[tuple[int, int]]:
+    """The greedy parse of a block: [from, to) of its factors of ``window`` words or more.
+
+    own: the words' hashes; offset: how many stand ahead of the anchor; references: the same of blocks with that anchor.
+    """
+    ahead = _reach(own[offset:], [w[o:] for w, o in references])
+    back = _reach(own[:offset][::-1], [w[:o][::-1] for w, o in references])
+    furthest = np.full(offset + 1, -offset)  # by the words that must agree ahead of the anchor; none reaches that far yet
+    np.maximum.at(furthest, back, ahead)
+    furthest = np.maximum.accumulate(furthest[::-1])[::-1].tolist()
+    out, at = [], 0
+    while at <= offset and at + window <= len(own):
+        end = offset + furthest[offset - at]
+        if end - at >= window:
+            out.append((at, end))
+            at = end - window + 1  # the first window across the boundary
+        else:
+            at += 1
+    return out
+
+
+def _mask(spans: list[tuple[int, int]], offset: int, window: int) -> int:
+    """Bit b: the window with b words ahead of its anchor lies in a span."""
+    out = 0
+    for a, b in spans:
+        low, high = offset - (b - window), offset - a
+        out |= ((1 << (high - low + 1)) - 1) << low
+    return out
+
+
+def _open_blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, content, id, offset, words) of the blocks that are to be parsed."""
+    for batch in slices(batches, "text"):
+        b = Blocks(batch.column("text"), window, gram)
+        which = np.flatnonzero(_among(b.owner, b.content, batch.column("open")))
+        if not len(which):
+            continue
+        which = which[np.unique(np.stack([b.owner[which], b.content[which].view(np.int64)]), axis=1, return_index=True)[1]]
+        ids = np.asarray(batch.column("id"))[b.owner[which]]
+        raw = [b.hashes[b.head[k] : b.head[k] + b.size[k] + window - 1].tobytes() for k in which.tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [_signed(b.anchor[which]), _signed(b.content[which]), pa.array(ids), pa.array(b.offset[which]), pa.array(raw, pa.binary())], ["anchor", "content", "id", "offset", "words"]
+        )
+
+
+def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, content, id, offset, words) sorted by anchor and id: of each block that has factors (id, content, mask)."""
+    anchor, references = None, []
+    for batch in batches:
+        got = []
+        for own, content, i, offset, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != anchor:
+                anchor, references = own, []
+            words = np.frombuffer(raw, "<u8")
+            earlier = [(w, o) for w, o, j in references if j < i]
+            if earlier and (mask := _mask(factors(words, offset, earlier, window), offset, window)):
+                got.append((i, content, mask))
+            references.append((words, offset, i))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["id", "content", "mask"])
+
+
 def _open_windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, hash, id, content, mask) of the windows of blocks whose anchor has too many references for one task."""
     for batch in slices(batches, "text"):
         b = Blocks(batch.column("text"), window, gram)
         open_blocks = _among(b.owner, b.content, batch.column("open"))
@@ -120,11 +205,30 @@ def _open_windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) ->
         if not len(which):
             continue
         ids = np.asarray(batch.column("id"))[b.row[which]]
+        block = b.block[which]
         yield pa.RecordBatch.from_arrays(
-            [_signed(b.anchor[b.block[which]]), _signed(b.window_hashes(which)), pa.array(ids)], ["anchor", "content", "id"]
+            [_signed(b.anchor[block]), _signed(b.window_hashes(which)), pa.array(ids), _signed(b.content[block]), pa.array(np.int64(1) << b.before[which])],
+            ["anchor", "hash", "id", "content", "mask"],
         )
 
 
+def _masks(column: pa.Array, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For values[i] the mask that the list of structs (content, mask) of rows[i] has for it, or 0; rows must not fall."""
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    flat = column.flatten()
+    content, mask = (np.asarray(flat.field(k)) for k in (0, 1))
+    out = np.zeros(len(values), np.int64)
+    edges = np.searchsorted(rows, np.arange(len(column) + 1))
+    for r in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(edges) > 0)):
+        own, listed = slice(edges[r], edges[r + 1]), content[bounds[r] : bounds[r + 1]].view(np.uint64)
+        order = np.argsort(listed)
+        at = np.minimum(np.searchsorted(listed, values[own], sorter=order), len(listed) - 1)
+        hit = listed[order[at]] == values[own]
+        out[own] = np.where(hit, mask[bounds[r] : bounds[r + 1]][order[at]], 0)
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "siltstone_text"):
         texts = batch.column("siltstone_text")
@@ -133,9 +237,7 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], window: int, gram:
         gone = np.zeros(n, bool)
         if len(b.start):
             settled = _among(b.owner, b.content, batch.column("siltstone_blocks"))[b.block]
-            maybe = np.flatnonzero(~settled & (np.diff(_rows_of(batch.column("siltstone_windows"))[1]) > 0)[b.row])
-            if len(maybe):
-                settled[maybe] = _among(b.row[maybe], b.window_hashes(maybe), batch.column("siltstone_windows"))
+            settled |= (_masks(batch.column("siltstone_masks"), b.owner, b.content)[b.block] >> b.before & 1) > 0
             step = np.zeros(n + 1, np.int64)
             np.add.at(step, b.start[settled], 1)
             np.add.at(step, b.start[settled] + window, -1)
@@ -150,52 +252,71 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], window: int, gram:
             runs = [raw[words.starts[i] : words.ends[j - 1]] for i, j in zip(cuts, cuts[1:], strict=False) if i < j and not gone[i]]
             kept.append(b" ".join(runs).decode("utf-8", "replace"))
         made = {
-            "n_words": pa.array(words.counts.astype(np.int64)),
-            "n_removed": pa.array(np.diff(removed).astype(np.int64)),
-            "kept_text": pa.array(kept, pa.string()),
+            "siltstone_n_words": pa.array(words.counts.astype(np.int64)),
+            "siltstone_n_removed": pa.array(np.diff(removed).astype(np.int64)),
+            "siltstone_kept": pa.array(kept, pa.string()),
         }
         yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, blocks, windows): of each document with factors long enough, the hashes that settle its windows."""
+def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, references: int = REFERENCES) -> DataFrame:
+    """(id, blocks, masks): of each document with factors long enough, the blocks that are one factor, and what factors cover of others."""
+    if window - gram >= 63:
+        raise ValueError("a block's windows are told by the bits of one integer: window - gram must be less than 63")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     docs = docs.filter("id is not null")
-    row = "anchor long, content long, id long"
-    index = staged(arrow_map(docs, _index, row, window, gram).distinct(), "index")
-    first = index.groupBy("anchor", "content").agg(F.min("id").alias("first"))
-    # a block's anchor is shared if other content has it too; a block alone with its anchor, in one document, is of no use
-    kinds = index.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("id").alias("a"), F.max("id").alias("z"))
-    kinds = kinds.filter("a < z").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    blocks = index.join(first.join(kinds, "anchor"), ["anchor", "content"])
+    index = staged(arrow_map(docs, _index, "anchor long, content long, id long", window, gram).distinct(), "index")
+    first = index.groupBy("anchor", "content").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    # an anchor in one document is of no use; one with one content has no block but whole factors
+    kinds = first.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("first").alias("a"), F.max("last").alias("z")).filter("a < z")
+    blocks = index.join(first.drop("last").join(kinds.select("anchor", "contents"), "anchor"), ["anchor", "content"])
+    own = (F.col("id") == F.col("first")) & (F.col("contents") > 1)
     blocks = staged(
         blocks.groupBy("id").agg(
             F.collect_set(F.when(F.col("id") > F.col("first"), F.col("content"))).alias("blocks"),
-            F.collect_set(F.when((F.col("id") == F.col("first")) & F.col("mixed"), F.col("content"))).alias("open"),
+            F.collect_set(F.when(own & (F.col("contents") <= references), F.col("content"))).alias("open"),
+            F.collect_set(F.when(own & (F.col("contents") > references), F.col("content"))).alias("hot"),
         ),
         "blocks",
     )
-    opened = blocks.filter(F.size("open") > 0).select("id", "open")
-    windows = arrow_map(docs.join(opened, "id"), _open_windows, row, window, gram)
-    windows = staged(windows.distinct(), "windows")
-    early = windows.groupBy("anchor", "content").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    late = windows.join(early.drop("last"), ["anchor", "content"]).filter("id > first")
-    late = late.groupBy("id").agg(F.collect_set("content").alias("windows"))
-    return blocks.select("id", "blocks").join(late, "id", "full")
-
-
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``df`` with n_words, n_removed and kept_text, the words that no window of an earlier document covers."""
-    found = spans(df, id_col, text_col, window, gram)
-    base = without(df, "n_words", "n_removed", "kept_text")
-    kept = [c for c in base.columns]
-    joined = base.join(
-        found.select(F.col("id").alias("siltstone_id"), F.col("blocks").alias("siltstone_blocks"), F.col("windows").alias("siltstone_windows")),
+    opened = arrow_map(docs.join(blocks.filter(F.size("open") > 0).select("id", "open"), "id"), _open_blocks, "anchor long, content long, id long, offset long, words binary", window, gram)
+    parsed = arrow_map(opened.repartition("anchor").sortWithinPartitions("anchor", "id"), _parse, "id long, content long, mask long", window)
+    windows = docs.join(blocks.filter(F.size("hot") > 0).select("id", F.col("hot").alias("open")), "id")
+    windows = staged(arrow_map(windows, _open_windows, "anchor long, hash long, id long, content long, mask long", window, gram).distinct(), "windows")
+    early = windows.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    late = windows.join(early.drop("last"), ["anchor", "hash"]).filter("id > first").groupBy("id", "content").agg(F.bit_or("mask").alias("mask"))
+    masks = parsed.union(late).groupBy("id").agg(F.collect_list(F.struct("content", "mask")).alias("masks"))
+    return blocks.select("id", "blocks").join(masks, "id", "full")
+
+
+def _stripped(df: DataFrame, id_col: str, text_col: str, window: int, gram: int, references: int) -> DataFrame:
+    """``df`` with siltstone_n_words, siltstone_n_removed and siltstone_kept."""
+    found = spans(df, id_col, text_col, window, gram, references)
+    joined = df.join(
+        found.select(F.col("id").alias("siltstone_id"), F.col("blocks").alias("siltstone_blocks"), F.col("masks").alias("siltstone_masks")),
         F.col(f"`{id_col}`").cast("long") == F.col("siltstone_id"),
         "left",
     ).withColumn("siltstone_text", F.col(f"`{text_col}`").cast("string"))
-    schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return arrow_map(joined.drop("siltstone_id"), _cut, schema, [*kept, "n_words", "n_removed", "kept_text"], window, gram)
+    made = [("siltstone_n_words", T.LongType()), ("siltstone_n_removed", T.LongType()), ("siltstone_kept", T.StringType())]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in made]])
+    return arrow_map(joined.drop("siltstone_id"), _cut, schema, [*df.columns, *[n for n, _ in made]], window, gram)
+
+
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, references: int = REFERENCES) -> DataFrame:
+    """``df`` with n_words, n_removed and kept_text, the words that no window of an earlier document covers."""
+    out = _stripped(df, id_col, text_col, window, gram, references)
+    return out.select(
+        *[F.col(f"`{c}`") for c in without(df, "n_words", "n_removed", "kept_text").columns],
+        F.col("siltstone_n_words").alias("n_words"), F.col("siltstone_n_removed").alias("n_removed"), F.col("siltstone_kept").alias("kept_text"),
+    )
+
+
+def strip_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """``df``, all its columns, with the words gone that dedup_substrings() takes; texts that lose none stay as they are, ``chars_col`` follows its text."""
+    out = _stripped(df, id_col, text_col, WINDOW, GRAM, REFERENCES)
+    cut = F.col("siltstone_n_removed") > 0
+    put = {text_col: F.col("siltstone_kept")} | ({chars_col: F.length("siltstone_kept").cast(df.schema[chars_col].dataType)} if chars_col else {})
+    return out.select(*[F.when(cut, put[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in put else F.col(f"`{c}`") for c in df.columns])
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
