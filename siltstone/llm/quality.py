@@ -3,14 +3,14 @@
 Two bags of hashed n-grams (words and punctuation runs, and pairs of neighbours, in ``BUCKETS``
 buckets) are counted: the target's over documents labelled good, of the bounded labelled sample,
 and the raw one over all documents. A document's importance is the ratio of its probabilities under
-the two. Since documents differ in length by orders of magnitude, it is taken for ``LENGTH`` n-grams:
-log weight = LENGTH * mean log ratio of the document's n-grams. Without replacement, k documents are
-drawn with probabilities as their weights by keeping the k largest of log weight + Gumbel noise, the
-noise a hash of the id, so that reruns agree. If k is not given it is the number of documents whose
-mean log ratio is at least the cut that parts the sample's good and bad documents best.
+the two: log weight = the sum of the log ratios of its n-grams, over a temperature that is 1 unless
+given. Without replacement, k documents are drawn with probabilities as their weights by keeping the
+k largest of log weight + Gumbel noise, the noise a hash of the id, so that reruns agree. If k is not
+given it is the number of documents whose log ratio is at least the cut that parts the sample's good
+and bad documents best.
 
 The k-th largest key is found by nested histograms over staged (id, key) rows, ties by smaller id;
-rows of one id and text are one draw. Nulls and texts without words have the weight 1 (its log 0).
+rows of one id and text are one draw, rows of one id with different texts are told apart. Nulls and texts without words have the weight 1 (its log 0).
 Null ids hash alike. Without labels of both kinds nothing is learned: all weights are 1 and, unless
 k is given, all is kept. One half of the sample, by hash, fits the target and the other sets the
 cut, so that the cut is that of documents the target has not seen. An empty table gives an empty result. Columns named like an output are
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from . import labelled
-from .frames import arrow_map
+from .frames import arrow_map, text_key, without_rows
 from .textkit import mix, slices, text_buffers, xxh64
 
 BUCKETS = 1 << 14
-LENGTH = 128
+TEMPERATURE = 1.0
 #: N-grams of raw text that are added to the target's: where the target says little its ratio is 1.
 PRIOR = 4.0 * BUCKETS
 
@@ -86,18 +86,17 @@ def counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _means(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _log_ratios(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         buckets, stops = grams(batch.column("text"))
         total = np.append(0.0, np.cumsum(ratio[buckets]))
-        n = np.diff(stops)
-        mean = np.round((total[stops[1:]] - total[stops[:-1]]) / np.maximum(n, 1), 9)
+        own = np.round(total[stops[1:]] - total[stops[:-1]], 6)
         rest = [(c, batch.column(c)) for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(mean + 0.0)], [*[c for c, _ in rest], "mean"])
+        yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(own + 0.0)], [*[c for c, _ in rest], "log_ratio"])
 
 
 class Model:
-    """ratio: the log ratio of each bucket; cut: the least mean of a document that counts as good."""
+    """ratio: the log ratio of each bucket; cut: the least log ratio of a document that counts as good."""
 
     def __init__(self, ratio: np.ndarray, cut: float) -> None:
         self.ratio, self.cut = ratio, cut
@@ -114,31 +113,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw /= raw.sum()
     target = counts(chosen.filter("label > 0 and half = 0"))
     ratio = np.log((target + PRIOR * raw) / (target.sum() + PRIOR) / raw)
-    rows = arrow_map(chosen.filter("half = 1").drop("half"), _means, "id long, label int, mean double", ratio).select("label", "mean").toArrow()
-    return Model(ratio, _cut(np.asarray(rows.column("mean")), np.asarray(rows.column("label")) > 0))
+    rows = arrow_map(chosen.filter("half = 1").drop("half"), _log_ratios, "id long, label int, log_ratio double", ratio).select("label", "log_ratio").toArrow()
+    return Model(ratio, _cut(np.asarray(rows.column("log_ratio")), np.asarray(rows.column("label")) > 0))
 
 
-def _cut(means: np.ndarray, good: np.ndarray) -> float:
-    """Half way between the two means next to the cut with the fewest errors, as shares of their kinds."""
-    order = np.argsort(means, kind="stable")
-    means, good = means[order], good[order]
+def _cut(scores: np.ndarray, good: np.ndarray) -> float:
+    """Half way between the two scores next to the cut with the fewest errors, as shares of their kinds."""
+    order = np.argsort(scores, kind="stable")
+    scores, good = scores[order], good[order]
     lost = np.append(0, np.cumsum(good)) / max(good.sum(), 1)
     left = (np.append(0, np.cumsum(~good))[-1] - np.append(0, np.cumsum(~good))) / max((~good).sum(), 1)
     at = int(np.argmin(lost + left))
     if at == 0:
-        return float(means[0]) - 1
-    if at == len(means):
-        return float(means[-1])
-    return float(means[at - 1] + means[at]) / 2
+        return float(scores[0]) - 1
+    if at == len(scores):
+        return float(scores[-1])
+    return float(scores[at - 1] + scores[at]) / 2
 
 
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mean, log_weight, key) of every row."""
-    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = arrow_map(source, _means, "id long, mean double", model.ratio)
+def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE) -> DataFrame:
+    """(id, text_key, log_ratio, log_weight, key) of every row."""
+    text = F.col(f"`{text_col}`").cast("string")
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("text_key"), text.alias("text"))
+    out = arrow_map(source, _log_ratios, "id long, text_key long, log_ratio double", model.ratio)
     unit = (F.pmod(F.xxhash64(F.lit("gumbel"), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight = F.col("mean") * float(LENGTH)
-    return out.withColumn("log_weight", weight).withColumn("key", F.round(weight - F.log(-F.log(unit)), 9))
+    weight = F.col("log_ratio") / float(temperature)
+    return out.withColumn("log_weight", weight).withColumn("key", F.round(weight - F.log(-F.log(unit)), 6))
 
 
 def kth_largest(rows: DataFrame, k: int) -> tuple[float, int] | None:
@@ -171,19 +171,29 @@ def kth_largest(rows: DataFrame, k: int) -> tuple[float, int] | None:
     return found[0], int(found[1])
 
 
-def select(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, log_weight, key, kept) of every row of ``df``: kept marks the k drawn."""
+def _drawn(df: DataFrame, labels: DataFrame, k: int | None, id_col: str, text_col: str, temperature: float) -> DataFrame:
+    """(id, text_key, log_weight, key, kept) of every row of ``df``: kept marks the k drawn."""
     model = fit(df, labels, id_col, text_col)
-    rows = staged(scored(df, model, id_col, text_col), "scores")
+    rows = staged(scored(df, model, id_col, text_col, temperature), "scores")
     if k is None:
-        k = rows.filter(F.col("mean") >= model.cut).count()
+        k = rows.filter(F.col("log_ratio") >= model.cut).count()
     last = kth_largest(rows.select("key", "id"), k)
     own = F.coalesce(F.col("id"), F.lit(-1))
     kept = F.lit(k > 0) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (own <= last[1]))
-    return rows.select(F.col("id").alias(id_col), F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), kept.alias("kept"))
+    return rows.select("id", "text_key", F.round("log_weight", 6).alias("log_weight"), "key", kept.alias("kept"))
+
+
+def select(
+    df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE
+) -> DataFrame:
+    """(id, log_weight, key, kept) of every row of ``df``: kept marks the k drawn."""
+    out = _drawn(df, labels, k, id_col, text_col, temperature)
+    return out.select(F.col("id").alias(id_col), "log_weight", "key", "kept")
 
 
-def reject(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the documents that are not drawn; rows without an id stay."""
-    gone = select(df, labels, None, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("gone_id"), "left_anti")
+def reject(
+    df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE
+) -> DataFrame:
+    """``df`` without the rows that are not drawn; rows without an id stay."""
+    gone = _drawn(df, labels, k, id_col, text_col, temperature).filter(~F.col("kept"))
+    return without_rows(df, gone.select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), id_col, text_col)
