@@ -9,7 +9,8 @@ by comparing their own hash with their source's threshold.
 
 Nulls: a null text has no words; a null source is a source of its own, the last in order; null ids
 hash alike. Rows of one id and source have one hash and share their fate. Sources without words have
-the target 0. An empty table gives an empty result. Columns named like an output are replaced.
+the target 0. An empty table gives an empty result. mix() replaces columns named like an output; mixed() has
+no outputs of its own and passes on every column.
 """
 
 from __future__ import annotations
@@ -121,24 +122,32 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("key", "base", below.cast("long").alias("below"))
 
 
-def _taken(measured: DataFrame, rows: DataFrame, keep: list[str], weights, share, most) -> DataFrame:
-    """The columns ``keep`` of ``measured`` and what the mix planned on ``rows`` makes of each row."""
+def _taken(measured: DataFrame, rows: DataFrame, weights, share, most) -> DataFrame:
+    """``measured`` with siltstone_source_size, siltstone_target and siltstone_copies, as the mix planned on ``rows`` has them."""
     goals = staged(targets(rows, weights, share, most), "targets")
     # staged, so that its size is known when it is joined: a short table is sent to the rows, and they stay where they are
-    plan = staged(goals.join(thresholds(rows, goals), "key", "left").withColumnRenamed("key", "siltstone_source"), "plan")
-    joined = measured.join(plan, F.col("siltstone_key") == F.col("siltstone_source"), "left")
-    once_more = F.when(F.col("siltstone_h") < F.col("below"), 1).otherwise(0)
-    copies = F.coalesce(F.col("base") + once_more, F.lit(0)).cast("long")
+    plan = goals.join(thresholds(rows, goals), "key", "left")
+    plan = staged(plan.select(*[F.col(c).alias(f"siltstone_plan_{c}") for c in plan.columns]), "plan")
+    joined = measured.join(plan, F.col("siltstone_key") == F.col("siltstone_plan_key"), "left")
+    once_more = F.when(F.col("siltstone_h") < F.col("siltstone_plan_below"), 1).otherwise(0)
     return joined.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col("siltstone_size").alias("size"),
-        F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
-        F.coalesce("target", F.lit(0.0)).alias("target"),
-        copies.alias("copies"),
-        (F.col("siltstone_size") * copies).alias("taken"),
+        *[F.col(f"`{c}`") for c in measured.columns],
+        F.coalesce("siltstone_plan_source_size", F.lit(0)).cast("long").alias("siltstone_source_size"),
+        F.coalesce("siltstone_plan_target", F.lit(0.0)).alias("siltstone_target"),
+        F.coalesce(F.col("siltstone_plan_base") + once_more, F.lit(0)).cast("long").alias("siltstone_copies"),
     )
 
 
+def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, most) -> DataFrame:
+    measured = _measured(df, id_col, text_col, source_col)
+    return _taken(measured, staged(_rows(measured), "sizes"), weights, share, most)
+
+
+def _outputs() -> list[Column]:
+    names = ("size", "source_size", "target", "copies")
+    return [*[F.col(f"siltstone_{n}").alias(n) for n in names], (F.col("siltstone_size") * F.col("siltstone_copies")).alias("taken")]
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -149,25 +158,30 @@ def mix(
     most: float = MOST,
 ) -> DataFrame:
     """``df`` with size, source_size, target, copies and taken = size * copies for every row."""
-    measured = _measured(df, id_col, text_col, source_col)
-    rows = staged(_rows(measured), "sizes")
-    base = without(df, "size", "source_size", "target", "copies", "taken", "base", "below")
-    measured = without(measured, "size", "source_size", "target", "copies", "taken", "base", "below")
-    return _taken(measured, rows, base.columns, weights, share, most)
+    kept = without(df, "size", "source_size", "target", "copies", "taken").columns
+    return _planned(df, id_col, text_col, source_col, weights, share, most).select(*[F.col(f"`{c}`") for c in kept], *_outputs())
 
 
-def mixed(df: DataFrame, *args, **kwargs) -> DataFrame:
-    """The mix itself: each row of ``df`` as often as it is taken, with the columns that mix() passes on."""
-    out = mix(df, *args, **kwargs)
-    out = out.withColumn("siltstone_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return out.drop("size", "source_size", "target", "copies", "taken", "siltstone_copy")
+def mixed(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as it is taken, with all columns of ``df`` and no other."""
+    out = _planned(df, id_col, text_col, source_col, weights, share, most)
+    out = out.withColumn("siltstone_copy", F.explode(F.array_repeat(F.lit(0), F.col("siltstone_copies").cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken) of every row; texts are read once."""
     measured = _measured(df, id_col, text_col, source_col)
     narrow = staged(measured.select(F.col(f"`{id_col}`"), "siltstone_key", "siltstone_size", "siltstone_h"), "sizes")
-    return _taken(narrow, _rows(narrow), [id_col], WEIGHTS, SHARE, MOST).drop("copies")
+    return _taken(narrow, _rows(narrow), WEIGHTS, SHARE, MOST).select(F.col(f"`{id_col}`"), *_outputs()).drop("copies")
 
 
 ORACLE_SQL = r"""
