@@ -6,9 +6,11 @@ are lower-cased words (runs of letters and digits), hashed into ``BUCKETS``; x i
 Only buckets that go with toxic labels beyond chance enter: by the likelihood ratio of their
 document frequencies, which are counted on the executors, at most ``FEATURES`` of them.
 
-Labels say toxic or not. The grade of a toxic document is 1, and one more for each of the bounds in
-``STEPS`` that its number of such words reaches; clean documents have grade 0. The fit is on the
-bounded labelled sample and takes place on the driver, over one sparse row for each of its documents.
+Labels say toxic or not, so the steps between grades of toxic documents come from cross-fitting: the
+sample is cut in ``FOLDS`` by a hash of the id, each fold's documents are scored by a regression with
+one threshold that is fitted on the other folds, and the toxic documents of a fold are graded 1 to
+GRADES by the quantiles of these held-out scores among them. Clean documents have grade 0. The fit is
+on the bounded labelled sample and takes place on the driver, over the counts of each document's features.
 
 Nulls and texts without words have no features; a document without any has the probabilities of
 its thresholds alone. Without labels of both kinds, or without features, severity is 0 throughout.
@@ -34,8 +36,8 @@ BUCKETS = 1 << 20
 FEATURES = 4096
 #: The least likelihood ratio statistic of a feature: about one false feature in a hundred thousand.
 EVIDENCE = 20.0
-STEPS = (3, 6)
-GRADES = 1 + len(STEPS)
+GRADES = 3
+FOLDS = 2
 #: Weight decay, steps of the fit.
 DECAY = 1e-5
 ROUNDS = 600
@@ -71,15 +73,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        lists = [np.searchsorted(chosen, b).tolist() for b in _hits(batch.column("text"), chosen)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["label", "hits"])
+        row, feature, count = _tallies(batch.column("text"), chosen)
+        bounds = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (feature, count)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), *lists], ["label", "fold", "features", "counts"])
 
 
-def _hits(column: pa.Array, chosen: np.ndarray) -> list[np.ndarray]:
+def _tallies(column: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of the features in a column, by row; a feature is a place in ``chosen``."""
     row, bucket = features(column)
     at = np.searchsorted(chosen, bucket)
     on = np.flatnonzero(np.append(chosen, -1)[at] == bucket)
-    return np.split(bucket[on], np.searchsorted(row[on], np.arange(1, len(column))))
+    pair, count = np.unique(row[on] * max(len(chosen), 1) + at[on], return_counts=True)
+    return pair // max(len(chosen), 1), pair % max(len(chosen), 1), count
 
 
 class Model:
@@ -108,33 +114,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = np.array(sorted(r["bucket"] for r in by.orderBy(F.desc("evidence"), "bucket").limit(FEATURES).collect()), np.int64)
     if not len(chosen):
         return nothing
-    rows = arrow_map(sample.select("text", "label"), _counts, "label int, hits array<int>", chosen).toArrow()
-    toxic = np.asarray(rows.column("label")) > 0
-    hits = rows.column("hits").combine_chunks()
-    n = np.asarray(hits.value_lengths())
-    doc = np.repeat(np.arange(len(n)), n)
-    pair, count = np.unique(doc * len(chosen) + np.asarray(hits.flatten()), return_counts=True)
-    grade = np.where(toxic, 1 + sum((n >= s).astype(int) for s in STEPS), 0)
-    return Model(chosen, *_regression(pair // len(chosen), pair % len(chosen), 1 + np.log(count), grade, len(chosen)))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = arrow_map(sample.select("text", "label", fold), _counts, "label int, fold int, features array<int>, counts array<int>", chosen).toArrow()
+    toxic, fold = np.asarray(rows.column("label")) > 0, np.asarray(rows.column("fold"))
+    lists = [rows.column(c).combine_chunks() for c in ("features", "counts")]
+    row = np.repeat(np.arange(len(toxic)), np.asarray(lists[0].value_lengths()))
+    column, x = np.asarray(lists[0].flatten()), 1 + np.log(np.asarray(lists[1].flatten()))
+    return Model(chosen, *_regression(row, column, x, _grades(row, column, x, toxic, fold, len(chosen)), len(chosen)))
+
+
+def _grades(row: np.ndarray, column: np.ndarray, x: np.ndarray, toxic: np.ndarray, fold: np.ndarray, width: int) -> np.ndarray:
+    """0 for clean documents; of a fold's toxic documents 1 to GRADES, by quantiles of the scores that the other folds' fit gives them."""
+    grade = np.zeros(len(toxic), int)
+    for k in range(FOLDS):
+        seen = fold != k
+        w, _ = _regression(row, column, x, toxic.astype(int), width, 1, seen)
+        score = np.bincount(row, w[column] * x, minlength=len(toxic))
+        own = np.flatnonzero((fold == k) & toxic)
+        if len(own):
+            steps = np.quantile(score[own], np.arange(1, GRADES) / GRADES)
+            grade[own] = 1 + (score[own, None] > steps).sum(axis=1)
+    return grade
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _regression(row: np.ndarray, column: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the least penalised loss of P(grade >= k), summed over k (Adam, full batches)."""
+def _regression(
+    row: np.ndarray, column: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, seen: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the least penalised loss of P(grade >= k), summed over k, on the documents ``seen`` (Adam, full batches)."""
+    weight = np.ones(len(grade)) if seen is None else seen.astype(float)
+    weight /= max(weight.sum(), 1)
     n = len(grade)
-    over = (grade[:, None] >= np.arange(1, GRADES + 1)).astype(float)
+    over = (grade[:, None] >= np.arange(1, grades + 1)).astype(float)
     # thresholds as a first one and the logs of the steps up from it, so that they stay in order
-    w, t = np.zeros(width), np.concatenate([[2.0], np.zeros(GRADES - 1)])
-    m, v = np.zeros(width + GRADES), np.zeros(width + GRADES)
+    w, t = np.zeros(width), np.concatenate([[2.0], np.zeros(grades - 1)])
+    m, v = np.zeros(width + grades), np.zeros(width + grades)
     for step in range(1, ROUNDS + 1):
         score = np.bincount(row, w[column] * x, minlength=n)
         rise = np.exp(t[1:])
-        error = _sigmoid(score[:, None] - np.concatenate([[t[0]], t[0] + np.cumsum(rise)])) - over
-        gw = np.bincount(column, error.sum(axis=1)[row] * x, minlength=width) / n + DECAY * w / GRADES
-        gk = -error.mean(axis=0)
+        error = (_sigmoid(score[:, None] - np.concatenate([[t[0]], t[0] + np.cumsum(rise)])) - over) * weight[:, None]
+        gw = np.bincount(column, error.sum(axis=1)[row] * x, minlength=width) + DECAY * w / grades
+        gk = -error.sum(axis=0)
         gt = np.concatenate([[gk.sum()], np.cumsum(gk[::-1])[::-1][1:] * rise])
         g = np.concatenate([gw, gt])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -146,15 +169,11 @@ def _regression(row: np.ndarray, column: np.ndarray, x: np.ndarray, grade: np.nd
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         n = batch.num_rows
-        score = np.zeros(n)
+        over = np.zeros((n, GRADES))
         if len(model.chosen):
-            hits = _hits(batch.column("text"), model.chosen)
-            row = np.repeat(np.arange(n), [len(h) for h in hits])
-            pair, count = np.unique(row * len(model.chosen) + np.searchsorted(model.chosen, np.concatenate(hits)), return_counts=True)
-            score = np.bincount(pair // len(model.chosen), model.weights[pair % len(model.chosen)] * (1 + np.log(count)), minlength=n)
+            row, feature, count = _tallies(batch.column("text"), model.chosen)
+            score = np.bincount(row, model.weights[feature] * (1 + np.log(count)), minlength=n)
             over = _sigmoid(score[:, None] - model.thresholds)
-        else:
-            over = np.zeros((n, GRADES))
         severity = np.round(over.sum(axis=1), 6) + 0.0
         grade = (over >= 0.5).sum(axis=1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(severity), pa.array(grade), pa.array(grade > 0)], ["id", "severity", "grade", "toxic"])
