@@ -7,23 +7,25 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Distinct chunks held by a worker; at the bound the table starts anew.
-TABLE_ENTRIES = 1_000_000
+#: Bytes that a worker's table may take, as far as they can be told; at the bound it starts anew.
+TABLE_BYTES = 96 << 20
+#: What an entry takes besides its chunk and ids: the bytes object, the dictionary's slot, the number, two array places.
+_ENTRY = 33 + 100 + 32 + 16
 
 
 class ChunkTable:
     """Ids by chunk. ``encode`` gives (ids, lengths) for a list of chunks of bytes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], entries: int = TABLE_ENTRIES) -> None:
-        self._encode, self._entries = encode, entries
-        self._clear()
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_BYTES) -> None:
+        self._encode, self._limit = encode, limit
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self._at: dict[bytes, int] = {}
-        self._ids = np.zeros(1 << 20, np.uint32)
-        self._starts = np.zeros(1 << 16, np.int64)
-        self._lengths = np.zeros(1 << 16, np.int64)
-        self._used = 0
+        self._ids = np.zeros(1 << 16, np.uint32)
+        self._starts = np.zeros(1 << 12, np.int64)
+        self._lengths = np.zeros(1 << 12, np.int64)
+        self._used = self._bytes = 0
 
     def _add(self, chunks: list[bytes]) -> None:
         ids, lengths = self._encode(chunks)
@@ -36,6 +38,7 @@ class ChunkTable:
         self._starts[n : n + len(chunks)] = self._used + np.cumsum(lengths) - lengths
         self._lengths[n : n + len(chunks)] = lengths
         self._used += len(ids)
+        self._bytes += sum(map(len, chunks)) + _ENTRY * len(chunks) + 4 * len(ids)
         self._at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def ids(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +49,8 @@ class ChunkTable:
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        if len(self._at) + len(distinct) > self._entries:
-            self._clear()
+        if self._bytes > self._limit:
+            self.clear()
         missing = [c for c in distinct if c not in self._at]
         if missing:
             self._add(missing)
@@ -55,6 +58,4 @@ class ChunkTable:
         lengths = self._lengths[at]
         ends = np.cumsum(lengths)
         out = self._ids[np.repeat(self._starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        if len(self._at) > self._entries or self._used > 16 * self._entries:
-            self._clear()
         return out, lengths

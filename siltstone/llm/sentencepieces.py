@@ -86,13 +86,16 @@ def encoder(model: str) -> Encoder:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], names: list[str], text: str, model: str, decode: bool) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text):
-        ids, bounds = encoder(model).encode(batch.column(text).cast(pa.string()))
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        made = {"ids": lists}
-        if decode:
-            made["decoded"] = pa.array(_decoded(lists, model), pa.string())
-        yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+    try:
+        for batch in slices(batches, text):
+            ids, bounds = encoder(model).encode(batch.column(text).cast(pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            made = {"ids": lists}
+            if decode:
+                made["decoded"] = pa.array(_decoded(lists, model), pa.string())
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+    finally:
+        encoder(model).table.clear()
 
 
 def _decoded(lists: pa.Array, model: str) -> list[str]:
@@ -129,16 +132,19 @@ def _digest(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
     import hashlib
 
     own = encoder(model)
-    for batch in slices(batches, "text"):
-        ids, bounds = own.encode(batch.column("text"))
-        raw = memoryview(ids.astype("<u4").tobytes())
-        shas, texts = [], []
-        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-            shas.append(hashlib.sha256(raw[4 * a : 4 * b]).hexdigest())
-            texts.append(hashlib.sha256(own.library.decode(ids[a:b].tolist()).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.diff(bounds)), pa.array(shas), pa.array(texts)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        )
+    try:
+        for batch in slices(batches, "text"):
+            ids, bounds = own.encode(batch.column("text"))
+            raw = memoryview(ids.astype("<u4").tobytes())
+            shas, texts = [], []
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                shas.append(hashlib.sha256(raw[4 * a : 4 * b]).hexdigest())
+                texts.append(hashlib.sha256(own.library.decode(ids[a:b].tolist()).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(np.diff(bounds)), pa.array(shas), pa.array(texts)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
+    finally:  # the table is a task's, so that idle workers hold none
+        own.table.clear()
 
 
 def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

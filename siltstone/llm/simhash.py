@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import staged
-from .frames import arrow_map, without
+from . import nearcopies
+from .frames import arrow_map, once, text_key, without_rows
 from .textkit import Words, lower_ascii, slices, text_buffers, xxh64
 
 #: The most fingerprints that one key may bring together in memory.
@@ -87,13 +88,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) ->
                 bits = np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 ones += bits.sum(axis=0, dtype=np.int64)
             out[row] = np.packbits(2 * ones > n[row], bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out.view(np.int64))], ["id", "key", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed 64-bit integer."""
-    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return arrow_map(source, _fingerprints, "id long, fp long", shingle, seed)
+    """(id, key, fp): the fingerprint of every row as a signed 64-bit integer; key tells texts of one id apart."""
+    text = F.col(f"`{text_col}`").cast("string")
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
+    return arrow_map(source, _fingerprints, "id long, key long, fp long", shingle, seed)
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,19 +218,24 @@ def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return edges
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id, kept) for every row of ``df``.
-
-    Fingerprints link at DISTANCE or fewer differing bits; component_id is the smallest id that can
-    be reached by links, the row's own included; kept marks the row whose id that is.
-    """
-    prints = staged(fingerprints(df, id_col, text_col), "fingerprints")
+def _components(prints: DataFrame) -> DataFrame:
+    """The staged ``prints`` (id, key, fp) with component_id."""
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     parts = connected_components(links(classes.filter("rep is not null")))
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(named, F.col("fp") == F.col("class_fp")).select(
+    return prints.join(named, F.col("fp") == F.col("class_fp")).drop("class_fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fingerprint, component_id, kept) for every row of ``df``.
+
+    Fingerprints link at DISTANCE or fewer differing bits; component_id is the smallest id that can
+    be reached by links, the row's own included; kept marks the row whose id that is.
+    """
+    found = _components(staged(fingerprints(df, id_col, text_col, shingle), "fingerprints"))
+    return found.select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -236,7 +243,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group left, that with the smallest id; rows without an id stay."""
-    gone = near_duplicates(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("gone_id"), "left_anti")
+def one_of_each(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each group left; ``rows`` (id, key, component_id) has a row for each of ``df``.
+
+    The one left has the smallest id of its group, and of several texts under that id the one with
+    the smallest key; of rows equal in both one stays. Rows without an id stay.
+    """
+    counted = staged(rows.filter("id is not null").groupBy("component_id", "id", "key").agg(F.count("*").alias("n")), "rows")
+    left = counted.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("left"))
+    placed = counted.join(left, "component_id").withColumn("stays", F.struct("id", "key") == F.col("left"))
+    placed = staged(placed.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "stays", "n"), "decided")
+    out = without_rows(df, placed.filter("not stays").select("gone_id", "gone_key"), id_col, text_col)
+    return once(out, placed.filter("stays and n > 1").select("gone_id", "gone_key"), id_col, text_col)
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """``df`` with one row of each group left, decided by row as in one_of_each().
+
+    Groups are those of fingerprints, or with ``similarity`` those of texts whose sets of runs of
+    ``shingle`` words overlap by so much: 64 bits do not tell such pairs from others (at 0.8 they
+    lie 3 to 14 bits apart), so nearcopies.py proposes them and checks the whole sets.
+    """
+    if similarity is not None:
+        rows = nearcopies.components(df, id_col, text_col, shingle, similarity)
+    else:
+        rows = _components(staged(fingerprints(df, id_col, text_col, shingle), "fingerprints"))
+    return one_of_each(df, rows, id_col, text_col)

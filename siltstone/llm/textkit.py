@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once, so that temporaries stay bounded whatever the batch holds.
-SLICE_BYTES = 4 << 20
+#: Bytes of text worked on at once: temporaries are a few dozen times that, whatever the batch holds.
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from siltstone.llm import epsilonjoin, simhash, substring, textkit
+from siltstone.llm import epsilonjoin, nearcopies, simhash, substring, textkit
 from siltstone.operators.graph import connected_components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,7 +76,19 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
     kept = simhash.drop_near_duplicates(d)
     assert kept.columns == d.columns
-    assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == set(want.values())
+    left = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
+    assert sorted(left) == sorted(set(want.values()))  # one row of each group, repeated rows or not
+
+
+def test_dropping_decides_by_row(spark):
+    a, b = prose(90), prose(90)
+    rows = [(1, a, "p"), (1, a, "p"), (1, b, "p"), (2, b, "q"), (3, a, "q"), (4, None, "r"), (4, None, "s"), (None, a, "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    for setting in ({}, {"shingle": 5, "similarity": 0.8}):
+        kept = [tuple(r) for r in simhash.drop_near_duplicates(d, **setting).collect()]
+        # one id makes one group of its texts; nulls are a text as others are
+        assert sorted((i, t) for i, t, _ in kept if i is not None and t is not None) == [(1, min(a, b, key=lambda t: spark.sql("SELECT xxhash64(:t) AS h", {"t": t}).first()["h"]))]
+        assert [i for i, t, _ in kept if t is None] == [4] and [x for i, _, x in kept if i is None] == ["t"]
 
 
 @pytest.mark.parametrize("bucket", [32, 1 << 14])
@@ -136,6 +148,58 @@ def test_substring_edges(spark, width, gram):
     assert substring.dedup_substrings(d.limit(0)).count() == 0
 
 
+def plain_factors(own, references, window):
+    """The greedy parse, by trying every length in every reference at every place."""
+    out, at = [], 0
+    while at + window <= len(own):
+        best = 0
+        for ref in references:
+            for k in range(len(ref) - window + 1):
+                n = 0
+                while at + n < len(own) and k + n < len(ref) and own[at + n] == ref[k + n]:
+                    n += 1
+                best = max(best, n)
+        if best >= window:
+            out.append((at, at + best))
+            at = at + best - window + 1
+        else:
+            at += 1
+    return out
+
+
+def test_factors_are_those_of_a_greedy_parser():
+    rng = random.Random(6)
+    for _ in range(300):
+        # blocks around one anchor that occurs once in each: words 0 to 2 elsewhere
+        def block():
+            o = rng.randint(0, 6)
+            return [rng.randint(0, 1) for _ in range(o)] + [7, 8] + [rng.randint(0, 1) for _ in range(rng.randint(3, 9))], o
+
+        (own, o), refs = block(), [block() for _ in range(rng.randint(1, 4))]
+        # the parse of a block looks at the windows that hold its anchor
+        got = substring.factors(np.array(own, np.uint64), o, [(np.array(w, np.uint64), k) for w, k in refs], 5)
+        want = [(a, b) for a, b in plain_factors(own, [w for w, _ in refs], 5) if a <= o and b >= o + 2]
+        windows = lambda spans: {s for a, b in spans for s in range(a, b - 4) if s <= o and s + 5 >= o + 2}
+        plain = {s for s in range(len(own) - 4) if s <= o and s + 5 >= o + 2 and any(own[s : s + 5] == w[k : k + 5] for w, _ in refs for k in range(len(w) - 4))}
+        assert windows(got) == plain
+        assert {s for s in windows(got)} >= {s for a, b in want for s in range(a, b - 4) if s <= o and s + 5 >= o + 2}
+        for a, b in got:  # every factor is one, and none could go further
+            assert any(own[a:b] == w[a - o + k : b - o + k] for w, k in refs if a - o + k >= 0)
+            assert not any(own[a : b + 1] == w[a - o + k : b + 1 - o + k] for w, k in refs if a - o + k >= 0 and b < len(own))
+
+
+def test_substring_anchor_with_many_references(spark):
+    """A passage in every document: parsed in tasks up to a bound, looked up by windows beyond, with one result."""
+    passage = prose(30)
+    rows = [(k, f"{prose(random.randint(20, 60))} {passage} {prose(3) if k % 4 else passage} {prose(40)}") for k in range(60)]
+    rows += [(100 + k, f"{rows[k][1]} {prose(5)}") for k in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(plain_cut(rows, 12))
+    for references in (1, 5, 256):
+        got = substring.dedup_substrings(d, window=12, gram=4, references=references).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_substring_digest(spark):
     rows = [(1, prose(80)), (2, None)]
     got = {r["doc_id"]: r["kept_sha256"] for r in substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -175,7 +239,7 @@ def run_sets(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_stage_finds_edited_copies(spark):
+def test_stage_finds_edited_copies(spark, monkeypatch):
     """Planted copies of 0.8 and more go; op3's contract setting left nearly all of them."""
     import corpus_pipeline
 
@@ -207,9 +271,12 @@ def test_stage_finds_edited_copies(spark):
 
     want = components(sorted(sets), linked)
     assert sum(i != root for i, root in want.items() if i >= 100) > 50
-    kept = corpus_pipeline.near_dedup(spark, d, "")
-    assert kept.columns == d.columns
-    got = kept.collect()
-    assert {r["doc_id"] for r in got if r["doc_id"] is not None} == set(want.values())
-    assert sum(r["doc_id"] is None for r in got) == 2
+    for rows_, hashes in ((8, 1 << 18), (256, 1 << 18), (64, 1_000)):  # several blocks to a group, or one
+        monkeypatch.setattr(nearcopies, "BLOCK_ROWS", rows_)
+        monkeypatch.setattr(nearcopies, "BLOCK_HASHES", hashes)
+        kept = corpus_pipeline.near_dedup(spark, d, "")
+        assert kept.columns == d.columns
+        got = kept.collect()
+        assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(set(want.values()))
+        assert sum(r["doc_id"] is None for r in got) == 2
     assert corpus_pipeline.near_dedup(spark, d.limit(0), "").count() == 0

@@ -49,6 +49,60 @@ def test_quality(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_quality_against_plain_python(spark):
+    """Log ratios and keys of every row, from counts made word by word."""
+    import re
+    from collections import Counter
+
+    import xxhash
+
+    d, labels = labelled_docs(spark)
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+")
+    whole = (1 << 64) - 1
+
+    def mixed(x):  # the finaliser of XXH64, by its specification
+        x = ((x ^ x >> 33) * 0xC2B2AE3D27D4EB4F) & whole
+        x = ((x ^ x >> 29) * 0x165667B19E3779F9) & whole
+        return x ^ x >> 32
+
+    def grams(text):
+        h = [xxhash.xxh64(w, seed=42).intdigest() for w in word.findall((text or "").encode())]
+        pairs = [mixed((a * 3 + mixed(b)) & whole) for a, b in zip(h, h[1:], strict=False)]
+        return [x % quality.BUCKETS for x in [*map(mixed, h), *pairs]]
+
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    half = {r[0]: r[1] for r in d.select("doc_id", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).collect()}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"]}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in good and half[i] == 0:
+            target.update(grams(t))
+    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values())
+
+    def ratio(b):
+        p = (raw[b] + 1) / n
+        return np.log((target[b] + quality.PRIOR * p) / (m + quality.PRIOR) / p)
+
+    model = quality.fit(d, labels)
+    want = sorted((str(i), float(sum(map(ratio, grams(t))))) for i, t in rows)
+    scored = quality.scored(d, model, temperature=2.0).withColumn("u", (F.pmod(F.xxhash64(F.lit("gumbel"), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).collect()
+    got = sorted((str(r["id"]), r["log_ratio"]) for r in scored)
+    assert [i for i, _ in got] == [i for i, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=2e-5)
+    assert all(abs(r["key"] - (r["log_ratio"] / 2 - np.log(-np.log(r["u"])))) < 1e-5 for r in scored)
+    drawn = quality.select(d, labels, k=50).collect()
+    least = sorted((r["key"] for r in drawn), reverse=True)[49]
+    assert all(r["kept"] == (r["key"] >= least) for r in drawn)
+
+
+def test_reject_decides_by_row(spark):
+    d, labels = labelled_docs(spark)
+    more = spark.createDataFrame([(6, " ".join(GOOD), "y"), (20, " ".join(GOOD), "y")], d.schema)  # 20 is junk under its other text
+    left = quality.reject(d.union(more), labels)
+    assert left.columns == d.columns
+    assert left.filter("doc_id = 20").select("kept").collect() == [("y",)]
+
+
 def test_kth_largest(spark):
     keys = [random.choice([1.5, -2.0, 3.25, random.random()]) for _ in range(5000)]
     d = spark.createDataFrame([(v, k) for k, v in enumerate(keys)], "key double, id long")
@@ -98,8 +152,11 @@ def test_mixing(spark):
         assert abs(t - target[s]) <= 0.5 * max(n for _, q, n in rows if q == s) + 1e-6, s
     again = mixing.mix(d.repartition(9)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
-    out = mixing.mixed(d)
-    assert out.count() == sum(r["copies"] for r in got)
+    clashing = d.withColumns({c: F.lit(c) for c in ("target", "source_size", "copies", "taken", "base", "below", "bucket", "h", "key")})
+    out = mixing.mixed(clashing)
+    assert out.columns == clashing.columns and out.count() == sum(r["copies"] for r in got)
+    assert {tuple(r) for r in out.select("size", "target", "base", "below").distinct().collect()} == {(9, "target", "base", "below")}
+    assert {"base", "below", "h"} <= set(mixing.mix(clashing).columns)
     assert mixing.mix(d.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")
     assert [r["taken"] for r in mixing.mix(nothing).collect()] == [0, 0]
@@ -118,6 +175,42 @@ def test_toxicity(spark):
     assert not got[1000]["toxic"] and not got[1001]["toxic"]
     assert {r["severity"] for r in toxicity.classify(d, labels.limit(0)).collect()} == {0.0}
     assert toxicity.classify(d.limit(0), labels).count() == 0
+    # every row's probabilities, word by word
+    import re
+
+    import xxhash
+
+    def plain(text):
+        tally = {}
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()):
+            b = xxhash.xxh64(w, seed=42).intdigest() % toxicity.BUCKETS
+            tally[b] = tally.get(b, 0) + 1
+        place = {b: k for k, b in enumerate(model.chosen.tolist())}
+        x = sum(model.weights[place[b]] * (1 + np.log(n)) for b, n in tally.items() if b in place)
+        p = 1 / (1 + np.exp(model.thresholds - x))
+        return round(float(p.sum()), 5), int((p >= 0.5).sum())
+
+    texts = {i: t for i, t in d.select("doc_id", "text").collect()}
+    for i, r in got.items():
+        severity, grade = plain(texts[i])
+        assert abs(r["severity"] - severity) < 2e-5 and r["grade"] == grade and r["toxic"] == (grade > 0)
+    assert (np.diff(model.thresholds) > 0).all() and len(model.thresholds) == toxicity.GRADES
+
+
+def test_grades_come_from_held_out_scores():
+    rng = np.random.default_rng(5)
+    n, width = 400, 12
+    toxic, fold = rng.random(n) < 0.4, rng.integers(0, toxicity.FOLDS, n)
+    row = np.repeat(np.arange(n), 3)
+    column = np.where(toxic[row], rng.integers(0, 6, 3 * n), rng.integers(4, width, 3 * n))
+    x = 1 + np.log(rng.integers(1, 4, 3 * n))
+    grade = toxicity._grades(row, column, x, toxic, fold, width)
+    assert (grade[~toxic] == 0).all() and set(grade[toxic]) == {1, 2, 3}
+    for k in range(toxicity.FOLDS):  # a fold's grades do not move with its own labels' weights
+        w, _ = toxicity._regression(row[fold[row] != k], column[fold[row] != k], x[fold[row] != k], toxic.astype(int), width, 1, fold != k)
+        score = np.bincount(row, w[column] * x, minlength=n)
+        own = (fold == k) & toxic
+        assert (grade[own] == 1 + (score[own, None] > np.quantile(score[own], [1 / 3, 2 / 3])).sum(axis=1)).all()
 
 
 def plain_top(rows, queries, k):
@@ -169,6 +262,20 @@ def test_pipeline(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, data)
     assert empty.count() == 0
+    # clashing names, repeated rows and ids, one very long text
+    names = ("size", "target", "base", "below", "n_words", "n_removed", "kept_text", "key", "component_id", "kept", "text_key")
+    odd = spark.read.parquet(f"{data}/documents.parquet").withColumns({c: F.lit(c) for c in names})
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: F.concat(F.lit("long"), k.cast("string"))))
+    twice = odd.orderBy("doc_id").limit(3)
+    odd = odd.union(twice).union(twice.withColumn("text", F.lower("text"))).union(odd.limit(1).withColumns({"doc_id": F.lit(10**9), "text": long}))
+    columns = odd.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        odd = corpus_pipeline.staged(stage(spark, odd, data))
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert odd.columns == columns and odd.count() > 0
+            assert all(odd.filter(F.col(c) != c).isEmpty() for c in names)
+        if k in (1, 2):  # one row of each group left
+            assert odd.count() == odd.select("doc_id").distinct().count()
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", None, None), (2, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         nulls = corpus_pipeline.staged(stage(spark, nulls, data))
