@@ -7,9 +7,12 @@ q.x <= sum over segments of len * mean_q * mean_x + dev_q * dev_x. Bounds are ta
 against the k-th best score that a query has so far; what survives is scored exactly. Where the
 coarse level leaves most pairs of a block, the finer level would too, and the block is scored whole.
 
-Queries are dealt into groups of about ``QUERIES``, candidates into packed blocks, and a task holds
-one group of queries with their k best while it streams the blocks of its share past them. It puts
-out k rows a query, so that what is gathered a query is k times the number of shares.
+Rows are ordered by cells of their coarse segment means and packed into blocks, queries likewise into
+groups. Blocks and groups have the least and greatest of each statistic, which bound all inner
+products between them. Each group first meets the two blocks that promise most; what its queries
+have then is a floor. Of all other blocks only those whose bound reaches the group's floor are sent
+to it, in shares: a task holds one group of queries with their k best while it streams the blocks of
+its share past them. It puts out at most k rows a query, none below the floor.
 
 Components are floor(scale * x) as exact integers, scores exact sums. Vectors that are null or hold
 null or non-finite components take no part. Shorter vectors end in zeros. Rows that share a query's
@@ -20,10 +23,12 @@ between rows of one id and score all stand. Rows with a null id take no part. Sc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +37,9 @@ from ..session import staged
 from .frames import arrow_map
 from .vectors import matrix, widened
 
-QUERIES = 4096
+#: Vectors of a block and of a group of queries, and bytes that they have at most.
 BLOCK = 4096
+BLOCK_BYTES = 4 << 20
 #: Segments of each resolution.
 LEVELS = (4, 16)
 #: Candidates that one task streams past a group of queries.
@@ -42,20 +48,40 @@ SHARE = 1 << 20
 _EXACT = 1 << 22
 
 
-def _pack(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows: ids, integers."""
+def _coarse(batches: Iterator[pa.RecordBatch], scale: float, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) that take part, with the means of their coarse segments."""
     for batch in batches:
-        for k in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(k, BLOCK)
-            x, good = matrix(part.column("vector"))
-            x = np.floor(x[good] * scale)
-            if not len(x):
-                continue
-            ids = np.asarray(part.column("id"))[good]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(x)], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())],
-                ["n", "ids", "vectors"],
-            )
+        x, good = matrix(batch.column("vector"))
+        kept = batch.filter(pa.array(good))
+        means = features(widened(np.floor(x[good] * scale), width), LEVELS[0])[:, : min(LEVELS[0], width)]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(means.ravel()), means.shape[1]).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, lists], ["id", "vector", "means"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch], scale: float, width: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted rows (id, vector): ids, integers, and the least and greatest of each statistic."""
+    part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+    def packed():
+        rows = pa.Table.from_batches(held)
+        x = widened(np.floor(matrix(rows.column("vector"))[0] * scale), width)
+        ids = np.asarray(rows.column("id"))
+        own = np.concatenate([features(x, n) for n in LEVELS], axis=1)
+        lists = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (own.min(axis=0), own.max(axis=0))]
+        blobs = [pa.array([v], pa.binary()) for v in (ids.astype("<i8").tobytes(), x.astype("<f8").tobytes())]
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq]), pa.array([len(ids)], pa.int64()), *lists, *blobs], ["block", "n", "lo", "hi", "ids", "vectors"])
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            take = min(most - size, batch.num_rows - at)
+            held.append(batch.slice(at, take).select(["id", "vector"]))
+            size, at = size + take, at + take
+            if size == most:
+                yield packed()
+                held, size, seq = [], 0, seq + 1
+    if size:
+        yield packed()
 
 
 def features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -77,11 +103,11 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best of a group of queries so far."""
+    """The k best of a group of queries so far, of those that reach the floor."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: int | None = None) -> None:
         self.ids, self.q, self.k = ids, q, k
-        self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
+        self.score = np.full((len(ids), k), np.iinfo(np.int64).min if floor is None else floor - 1)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self._features = [features(q, s) for s in LEVELS]
 
@@ -150,71 +176,105 @@ def _unpacked(n: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarra
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: a key's packed queries, then its packed candidates."""
-    key, held, best = None, [], None
-
-    def gathered():
-        width = max(q.shape[1] for _, q in held)
-        ids, at = np.unique(np.concatenate([i for i, _ in held]), return_index=True)
-        q = np.concatenate([widened(q, width) for _, q in held])
-        everything = np.concatenate([i for i, _ in held])
-        if len(ids) < len(everything):  # equal rows of a query are one query
-            rows = np.unique(np.concatenate([everything[:, None].astype(np.float64), q], axis=1), axis=0, return_index=True)[1]
-            return Best(everything[rows], q[rows], k)
-        return Best(ids, q[at], k)
-
+    """Rows sorted by group, share and side: a group's queries, then its blocks."""
+    key, best = None, None
     for batch in batches:
-        for own, side, n, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("key", "side", "n", "ids", "vectors")), strict=True):
-            if own != key:
+        for g, share, side, floor, n, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("g", "share", "side", "floor", "n", "ids", "vectors")), strict=True):
+            if (g, share) != key:
                 if best is not None and (out := best.rows()) is not None:
                     yield out
-                key, held, best = own, [], None
-            block = _unpacked(n, ids, vectors)
-            if side == 0:
-                held.append(block)
-                continue
-            if best is None:
-                if not held:
-                    continue
-                best, held = gathered(), []
-            best.offer(*block)
+                key, best = (g, share), None
+            own, x = _unpacked(n, ids, vectors)
+            if side == 0:  # equal rows of a query are one query
+                rows = np.unique(np.concatenate([own.view("<f8")[:, None], x], axis=1).view("V%d" % (8 + 8 * x.shape[1])), return_index=True)[1]
+                best = Best(own[rows], x[rows], k, floor)
+            elif best is not None:
+                best.offer(own, x)
     if best is not None and (out := best.rows()) is not None:
         yield out
 
 
+def _packed(rows: DataFrame, scale: float, width: int, name: str) -> DataFrame:
+    """Staged blocks of the rows (id, vector), neighbours by their coarse means together."""
+    coarse = staged(arrow_map(rows, _coarse, "id long, vector array<double>, means array<double>", scale, width), f"{name}-means")
+    m = min(LEVELS[0], width)
+    spread = coarse.agg(*[F.avg(F.col("means")[i]) for i in range(m)], *[F.stddev_pop(F.col("means")[i]) for i in range(m)]).first()
+    cells = [F.floor((F.col("means")[i] - F.lit(float(spread[i] or 0))) / F.lit(float(spread[m + i] or 0) or 1.0)) for i in range(m)]
+    ordered = coarse.select("id", "vector", F.array(*cells).alias("cells")).repartitionByRange("cells", "id").sortWithinPartitions("cells", "id")
+    kind = "block long, n long, lo array<double>, hi array<double>, ids binary, vectors binary"
+    return staged(arrow_map(ordered.drop("cells"), _pack, kind, scale, width, max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))), name)
+
+
+def _bounds(width: int) -> tuple:
+    """From q_lo, q_hi, lo, hi: the most that an inner product can be by each level, and what that of the middles is."""
+    out, at = [], 0
+    for level in LEVELS:
+        n = 2 * min(level, width)
+        each = [
+            F.greatest(*[F.col(a)[i] * F.col(b)[i] for a in ("q_lo", "q_hi") for b in ("lo", "hi")]) for i in range(at, at + n)
+        ]
+        out.append(functools.reduce(lambda a, b: a + b, each))
+        at += n
+    n = min(LEVELS[-1], width)
+    first = 2 * min(LEVELS[0], width)
+    middle = functools.reduce(lambda a, b: a + b, [(F.col("q_lo")[i] + F.col("q_hi")[i]) * (F.col("lo")[i] + F.col("hi")[i]) for i in range(first, first + n)])
+    return F.least(*out), middle / 4
+
+
+def _scored(asked: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(query_id, vec_id, score) that come of ``pairs`` (g, block, floor, share)."""
+    sent = asked.select(F.col("block").alias("g"), "n", "ids", "vectors")
+    left = pairs.select("g", "share", "floor").distinct().join(sent, "g").withColumn("side", F.lit(0))
+    right = pairs.join(blocks.select("block", "n", "ids", "vectors"), "block").withColumn("side", F.lit(1))
+    names = ["g", "share", "side", "floor", "n", "ids", "vectors"]
+    both = left.select(*names).unionByName(right.select(*names))
+    return arrow_map(both.repartition(tasks, "g", "share").sortWithinPartitions("g", "share", "side"), _search, "query_id long, vec_id long, score long", k)
+
+
 def search(
     candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest inner product with each query."""
+    found = None
     spark = candidates.sparkSession
     narrow = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")]
-    kind = "n long, ids binary, vectors binary"
-    asked = queries.select(*narrow).filter("id is not null")
-    blocks = staged(arrow_map(candidates.select(*narrow).filter("id is not null"), _pack, kind, scale), "blocks")
-    n_queries, n_rows = asked.count(), blocks.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-n_queries // QUERIES))
-    shares = max(1, -(-n_rows // SHARE), -(-spark.sparkContext.defaultParallelism // groups))
-    dealt = asked.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    # each group's queries are packed together, then sent to each of its shares
-    packed = arrow_map(dealt.repartition("g").sortWithinPartitions("g"), _pack_groups, "g long, " + kind, scale)
-    left = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"))
-    spread = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
-    right = spread.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "n", "ids", "vectors", "share", F.lit(1).alias("side"))
-    both = left.unionByName(right).withColumn("key", F.col("g") * shares + F.col("share")).drop("g", "share")
-    found = arrow_map(
-        both.repartition(groups * shares, "key").sortWithinPartitions("key", "side"), _search, "query_id long, vec_id long, score long", k
-    )
+    rows, asked = (x.select(*narrow).filter("id is not null") for x in (candidates, queries))
+    width = max(1, *[x.agg(F.max(F.size("vector"))).first()[0] or 1 for x in (rows, asked)])
+    blocks, groups = _packed(rows, scale, width, "blocks"), _packed(asked, scale, width, "groups")
+    cores = spark.sparkContext.defaultParallelism
+    bound, middle = _bounds(width)
+    # narrow rows: a group of queries against a block each
+    stats = groups.select(F.col("block").alias("g"), F.col("n").alias("q_n"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    pairs = staged(stats.crossJoin(blocks.select("block", "lo", "hi")).select("g", "block", "q_n", bound.alias("bound"), middle.alias("middle")), "pairs")
+    first = pairs.groupBy("g").agg(F.max_by("block", F.struct("bound", "block")).alias("a"), F.max_by("block", F.struct("middle", "block")).alias("b"))
+    first = first.select("g", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    nothing = F.lit(None).cast("long")
+    ahead = staged(_scored(groups, blocks, first.withColumns({"floor": nothing, "share": F.lit(0).cast("long")}), k, cores), "first")
+    # a group's floor: the least k-th best of its queries, if all have k
+    of_group = groups.select(F.col("block").alias("g"), "n", F.col("ids"))
+    kth = ahead.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") == k)
+    members = arrow_map(of_group, _members, "g long, query_id long")
+    floors = members.join(kth.select("query_id", "score"), "query_id", "left").groupBy("g").agg(F.when(F.count("*") == F.count("score"), F.min("score")).alias("floor"))
+    reach = F.col("bound") + 1 + 1e-9 * F.abs("bound") >= F.col("floor")
+    left = pairs.join(floors, "g").filter(F.col("floor").isNull() | reach).join(first, ["g", "block"], "left_anti").select("g", "block", "floor")
+    left = staged(left, "left")
+    n_left, n_groups = left.count(), max(1, groups.count())
+    if n_left:
+        tasks = max(cores, -(-n_left * BLOCK // SHARE))
+        # each group's blocks in about as many shares as it takes to have work for all tasks
+        shares = left.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * tasks / n_left)).alias("shares"))
+        dealt = left.join(shares, "g").withColumn("share", F.pmod(F.xxhash64("block"), F.col("shares")))
+        found = _scored(groups, blocks, dealt.select("g", "block", "floor", "share"), k, max(tasks, min(n_groups, 20_000)))
+    found = ahead if found is None else ahead.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pack_groups(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        g = np.asarray(batch.column("g"))
-        heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
-        for a, b in zip(heads, [*heads[1:], len(g)], strict=True):
-            for packed in _pack(iter([batch.slice(a, b - a)]), scale):
-                yield pa.RecordBatch.from_arrays([pa.array([int(g[a])], pa.int64()), *packed.columns], ["g", *packed.schema.names])
+        for g, ids in zip(batch.column("g").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            own = np.unique(np.frombuffer(ids, "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g)), pa.array(own)], ["g", "query_id"])
 
 
 ORACLE_SQL = """

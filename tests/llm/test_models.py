@@ -237,6 +237,21 @@ def test_topk(spark, n, spread):
     assert topk.search(d, d.limit(0)).count() == 0 and topk.search(d.limit(0), d.filter("vec_id = 0")).count() == 0
 
 
+def test_topk_sends_only_blocks_that_bounds_leave(spark, monkeypatch):
+    """Many blocks and groups: of clustered vectors few pairs are sent, and the rows are those of brute force."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    centres = 4 * rng.normal(size=(12, 16)).round(1)
+    rows = [(i, (centres[i % 4] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(1500)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    sent = []
+    plain = topk._scored
+    monkeypatch.setattr(topk, "_scored", lambda asked, blocks, pairs, k, tasks: (sent.append((pairs.count(), blocks.count(), asked.count())), plain(asked, blocks, pairs, k, tasks))[1])
+    got = topk.search(d, d.filter("vec_id % 10 = 0"))
+    assert sorted(map(tuple, got.collect())) == plain_top(rows, set(range(0, 1500, 10)), 5)
+    assert sum(n for n, _, _ in sent) < 0.6 * sent[0][1] * sent[0][2], sent
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = np.floor(256 * rng.normal(size=(50, 64))), np.floor(256 * rng.normal(size=(80, 64)))
