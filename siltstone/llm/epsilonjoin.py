@@ -14,9 +14,9 @@ many rows hold is compared once. For each vector a task puts out how many it lin
 each pair of blocks a spanning forest of the links, not the links.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; shorter
-vectors end in zeros. Rows that share an id but not their vector are one point with the links of
-both. Rows with a null id are counted as others' links only as copies, and have no component. An
-empty table gives an empty result; other columns are left out.
+vectors end in zeros. Rows that share an id but not their vector have the links of
+their own vector each. Rows with a null id link like others; their component is the smallest id that
+they reach, if any. An empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
 from ..session import staged
+from .forest import spanning
 from .frames import arrow_map
 from .vectors import matrix, widened
 
-#: Vectors of an interval, of a block compared at once, and intervals along a tile's edge at most.
+#: Vectors and bytes of an interval, vectors of a block compared at once, and intervals along a tile's edge at most.
 INTERVAL = 4096
+INTERVAL_BYTES = 2 << 20
 BLOCK = 512
 EDGE = 16
 FANOUT = 16
@@ -82,7 +84,7 @@ def _leading(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return widened(x, width) @ np.concatenate([turn, np.zeros((width - len(turn), turn.shape[1]))])
 
 
-def _pack(batches: Iterator[pa.RecordBatch], turn: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], turn: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """Intervals of sorted rows, with their boxes."""
     from pyspark import TaskContext
 
@@ -101,10 +103,10 @@ def _pack(batches: Iterator[pa.RecordBatch], turn: np.ndarray) -> Iterator[pa.Re
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            take = min(INTERVAL - size, batch.num_rows - at)
+            take = min(most - size, batch.num_rows - at)
             held.append(batch.slice(at, take))
             size, at = size + take, at + take
-            if size == INTERVAL:
+            if size == most:
                 yield packed(pa.Table.from_batches(held).combine_chunks())
                 held, size, seq = [], 0, seq + 1
     if size:
@@ -166,24 +168,6 @@ class _Interval:
         return self.boxes[a, b]
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links i - j between n and m points a few with the same components: each point's smallest label, and why."""
-    own = np.arange(n + m)
-    a, b = i, j + n
-    label = own.copy()
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != own)
-    return moved, label[moved]
-
-
 def _compare(p: _Interval, q: _Interval, least: float, eps: float, counts, links) -> None:
     """Join two intervals, or one with itself, recursively."""
     same, limit = p.number == q.number, eps * eps + _SLACK
@@ -219,18 +203,11 @@ def _compare(p: _Interval, q: _Interval, least: float, eps: float, counts, links
             continue
         np.add.at(counts[p.number], i, q.n[j])
         np.add.at(counts[q.number], j, p.n[i])
-        at, to = _forest(i - a, j - c, b - a, d - c) if not same else _forest_same(i, j)
+        at, to = spanning(i - a, j - c + b - a, b - a + d - c) if not same else spanning(i, j, len(p.rep))
         rep = np.concatenate([p.rep[a:b], q.rep[c:d]]) if not same else p.rep
         links.append((rep[at], rep[to]))
 
 
-def _forest_same(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    points, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    k = len(i)
-    moved, to = _forest(at[:k], at[k:] - len(points), len(points), 0)
-    return points[moved], points[to]
-
-
 def _join(batches: Iterator[pa.RecordBatch], turn: np.ndarray, least: float, eps: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile and side: a tile's first intervals are held, the others pass by. Gives (src, dst, n):
     a link if dst is set, otherwise n more links for src."""
@@ -279,10 +256,14 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     classes = staged(
         rows.filter("usable").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("vector").alias("vector")), "classes"
     )
-    counted, labels = _linked(classes.filter("rep is not null"), least, eps)
-    named = classes.select("k1", "k2", "rep", "n").join(counted, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
+    # a class is known by a hash of its vector, which rows without an id have too
+    counted, labels = _linked(classes.select(F.col("k1").alias("rep"), "n", "vector"), least, eps)
+    placed = classes.select("k1", "k2", F.col("rep").alias("id"), "n").join(labels, F.col("k1") == F.col("node"), "left")
+    placed = staged(placed.withColumn("component", F.coalesce("component", "k1")).drop("node"), "placed")
+    lowest = placed.groupBy("component").agg(F.min("id").alias("lowest"))
+    named = placed.join(lowest, "component").join(counted, F.col("k1") == F.col("rep"), "left")
     named = named.select(
-        F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+        F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("lowest").alias("component")
     )
     out = rows.select("id", "usable", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("usable"), "left")
     component = F.coalesce(F.when(F.col("usable"), F.col("component")), F.col("id"))
@@ -303,9 +284,11 @@ def _linked(classes: DataFrame, least: float, eps: float) -> tuple[DataFrame, Da
         turn = np.concatenate([turn, np.zeros((len(turn), DIRECTIONS - width))], axis=1)
     schema = classes.select("rep", "n", "vector").schema
     celled = arrow_map(classes.select("rep", "n", "vector"), _cells, T.StructType([*schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]), turn, eps)
+    # what a tile holds is bounded in bytes, however wide vectors are
+    most = max(1, min(INTERVAL, INTERVAL_BYTES // (8 * (classes.agg(F.max(F.size("vector"))).first()[0] or 1))))
     ordered = celled.repartitionByRange("cells", "rep").sortWithinPartitions("cells", "rep").drop("cells")
     packed = staged(
-        arrow_map(ordered, _pack, "part long, seq long, lo array<double>, hi array<double>, reps binary, ns binary, vectors binary", turn), "intervals"
+        arrow_map(ordered, _pack, "part long, seq long, lo array<double>, hi array<double>, reps binary, ns binary, vectors binary", turn, most), "intervals"
     )
     # a partition's intervals follow those of the partitions before it; one row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

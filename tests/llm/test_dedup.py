@@ -206,7 +206,7 @@ def test_substring_digest(spark):
     assert got == {1: hashlib.sha256(rows[0][1].encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
 
 
-def test_epsilon_join(spark):
+def test_epsilon_join(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 6))
     centres = rng.normal(size=(4, 6))
@@ -230,6 +230,15 @@ def test_epsilon_join(spark):
         label = new
     assert {i: got[i] for i in range(len(x))} == {i: (int(linked[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))}
     assert all(got[i] == (0, i, True) for i, _ in odd if i is not None)
+    # vectors of rows without an id link like others, and join what they lie between
+    flat = lambda d: [float(np.cos(np.deg2rad(d))), float(np.sin(np.deg2rad(d)))]
+    few = spark.createDataFrame([(1, flat(0)), (None, flat(20)), (3, flat(40)), (4, flat(170)), (4, flat(90)), (None, flat(300))], "vec_id long, embedding array<double>")
+    assert sorted(map(str, (tuple(r) for r in epsilonjoin.near_duplicates(few).collect()))) == sorted(
+        map(str, [(1, 1, 1, True), (None, 2, 1, None), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True), (None, 0, None, None)])
+    )
+    monkeypatch.setattr(epsilonjoin, "INTERVAL_BYTES", 2_000)  # many intervals and tiles
+    again = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in epsilonjoin.near_duplicates(d).collect()}
+    assert again == got
     assert epsilonjoin.near_duplicates(d.limit(0)).count() == 0
 
 
