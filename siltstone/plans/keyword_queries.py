@@ -17,7 +17,7 @@ ALL = SINGLE + AFFIX + PHRASE
 
 _W = f"""
 w AS (SELECT doc_id, word, lower(word) AS low, pos, ws FROM (
-  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, ws FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 100000), '{tx.WORD}') AS ws FROM documents)))
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, ws FROM (SELECT doc_id, regexp_extract_all(text, '{tx.WORD}') AS ws FROM documents)))
 """
 
 
@@ -48,7 +48,7 @@ def _hits(terms: list[str]) -> str:
 def _hit_query(name: str, terms: list[str]) -> None:
     @register(name, f"WITH {_W}, {_hits(terms)} SELECT * FROM h")
     def run(spark, sf_dir):
-        return keywords.hits(keywords.word_table(docs(spark, sf_dir), "doc_id", F.col("text")), terms).withColumnRenamed("id", "doc_id")
+        return keywords.found(docs(spark, sf_dir), "doc_id", F.col("text"), terms).withColumnRenamed("id", "doc_id")
 
 
 _hit_query("j01_single_terms", SINGLE)
@@ -67,7 +67,7 @@ _TITLED = (
     WITH {_W}, {_TITLED}, {_hits(_FILTER_TERMS)},
     ht AS (SELECT doc_id, term, count(*) AS hits FROM ({' UNION ALL '.join(f"SELECT doc_id, '{t}' AS term FROM t WHERE {_condition(t)}" for t in _FILTER_TERMS)}) GROUP BY doc_id, term),
     s AS (SELECT doc_id, sum(hits * weight)::BIGINT AS score, count(DISTINCT term)::BIGINT AS n_terms FROM (SELECT *, 1 AS weight FROM h UNION ALL SELECT *, 3 AS weight FROM ht) GROUP BY doc_id),
-    x AS (SELECT DISTINCT doc_id FROM w WHERE starts_with(low, 'gmbh') OR low = 'von')
+    x AS (SELECT doc_id FROM w WHERE starts_with(low, 'gmbh') OR low = 'von' UNION SELECT doc_id FROM t WHERE starts_with(low, 'gmbh') OR low = 'von')
     SELECT d.doc_id, coalesce(s.score, 0)::BIGINT AS score, coalesce(s.n_terms, 0)::BIGINT AS n_terms,
       CASE WHEN x.doc_id IS NOT NULL THEN 'keyword_excluded' WHEN coalesce(s.score, 0) < 3 THEN 'keyword_min_hits' WHEN coalesce(s.n_terms, 0) < 2 THEN 'keyword_min_distinct' ELSE '' END AS reason
     FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN x USING (doc_id)
@@ -81,7 +81,7 @@ def f04(spark, sf_dir):
 @register("a02_keyword_totals", f"WITH {_W}, {_hits(ALL)} SELECT source, term, sum(hits)::BIGINT AS hits FROM h JOIN documents USING (doc_id) GROUP BY source, term")
 def a02(spark, sf_dir):
     d = docs(spark, sf_dir)
-    found = keywords.hits(keywords.word_table(d, "doc_id", F.col("text")), ALL).withColumnRenamed("id", "doc_id")
+    found = keywords.found(d, "doc_id", F.col("text"), ALL).withColumnRenamed("id", "doc_id")
     return found.join(d.select("doc_id", "source"), "doc_id").groupBy("source", "term").agg(F.sum("hits").alias("hits"))
 
 
@@ -92,7 +92,7 @@ def a02(spark, sf_dir):
 )
 def a31(spark, sf_dir):
     d = docs(spark, sf_dir)
-    found = keywords.hits(keywords.word_table(d, "doc_id", F.col("text")), ALL)
+    found = keywords.found(d, "doc_id", F.col("text"), ALL)
     n = d.agg(F.count("*").alias("all"))
     by = found.groupBy("term").agg(F.count_distinct("id").alias("documents"))
     return by.join(F.broadcast(n)).select("term", "documents", F.round(F.col("documents") / F.col("all"), 6).alias("share"), (F.col("documents") > 0.01 * F.col("all")).alias("common"))
@@ -108,7 +108,7 @@ _TOP = f"SELECT doc_id, source, round(hits / sqrt(greatest(length(text), 500)),
 def t01(spark, sf_dir):
     """Two phases: a slack of half as much again and a hundred, then the exact cut."""
     d = docs(spark, sf_dir)
-    found = keywords.hits(keywords.word_table(d, "doc_id", F.col("text")), ALL).groupBy("id").agg(F.sum("hits").alias("hits"))
+    found = keywords.found(d, "doc_id", F.col("text"), ALL).groupBy("id").agg(F.sum("hits").alias("hits"))
     scored = found.join(d, F.col("id") == F.col("doc_id")).filter(F.length("text") >= 200)
     scored = scored.select("doc_id", "source", F.round(F.col("hits") / F.sqrt(F.greatest(F.length("text"), F.lit(500))), 6).alias("score"))
     slack = scored.orderBy(F.desc("score"), "doc_id").limit(int(1.5 * 20) + 100)
@@ -123,10 +123,8 @@ def t01(spark, sf_dir):
 )
 def t02(spark, sf_dir):
     d = docs(spark, sf_dir)
-    words = keywords.word_table(d, "doc_id", F.col("text"))
-    found = keywords.hits(words, ALL).groupBy("id").agg(F.sum("hits").alias("hits"))
-    n = words.groupBy("id").agg(F.count("*").alias("words"))
-    s = found.join(n, "id").join(d.select(F.col("doc_id").alias("id"), "source", "n_chars"), "id")
+    found = keywords.found(d, "doc_id", F.col("text"), ALL).groupBy("id").agg(F.sum("hits").alias("hits"))
+    s = found.join(d.select(F.col("doc_id").alias("id"), "source", "n_chars", F.regexp_count("text", F.lit(tx.WORD)).alias("words")), "id")
     s = s.withColumn("density", F.round(F.col("hits") / F.sqrt(F.greatest("words", F.lit(50))), 6))
     w = Window.partitionBy("source").orderBy(F.desc("density"), F.desc("n_chars"), "id")
     return s.select(F.col("id").alias("doc_id"), "density", F.row_number().over(w).alias("rank"))

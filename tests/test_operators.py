@@ -321,3 +321,20 @@ def test_whole_tables_take_part(spark, data):
     assert sorted((r["doc_id"], r["other"]) for r in run("j10_positional_all")) == sorted(pairs)
     events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_id").collect()
     assert sorted(map(tuple, run("s18_rest_page_all"))) == sorted(map(tuple, events))
+
+
+def test_keywords_of_whole_texts_and_titles(spark):
+    from siltstone.operators import keywords
+
+    phrase = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame(
+        [(1, "plain", "filler " * 20_000 + "gene allele gene"), (2, "a forbidden title", "gene allele gene"), (3, "x", f"gene {phrase} allele"), (4, None, None), (5, "Gene", "none of it")],
+        "id long, title string, text string",
+    )
+    got = {r["id"]: (r["score"], r["n_terms"], r["reason"]) for r in keywords.keyword_filter(d, ["gene", "allele*", phrase], ["forbidden"], "id", "text", "title").collect()}
+    assert got == {1: (3, 2, ""), 2: (3, 2, "keyword_excluded"), 3: (3, 3, ""), 4: (0, 0, "keyword_min_hits"), 5: (3, 1, "keyword_min_distinct")}
+    assert [tuple(r) for r in keywords.found(d, "id", F.col("text"), [phrase]).collect()] == [(3, phrase, 1)]
+    out = {r["id"]: r["reason"] for r in keywords.keyword_filter(d, ["gene"], [], "id", "text", "title", in_scope=F.col("id") > 3).collect()}
+    assert out == {1: "", 2: "", 3: "", 4: "keyword_min_hits", 5: "keyword_min_distinct"}
+    many = [f"term{k}" for k in range(keywords.TESTED_PIECES + 10)]
+    assert keywords.found(d.union(spark.createDataFrame([(6, "", "term7 term8x")], d.schema)), "id", F.col("text"), many).count() == 1
