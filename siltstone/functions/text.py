@@ -69,16 +69,21 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def composed(text: Column) -> Column:
+    """NFC. Below U+0300 nothing composes, so only texts with characters from there on leave the JVM."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x{2FF}]"), text)), text)
+
+
 def cleaned(text: Column) -> Column:
-    """All steps of cleaning but NFC, in their fixed order."""
-    return squeezed(without_controls(without_marker(unix_newlines(without_bom(text)))))
+    """All steps of cleaning in their fixed order: mark, line ends, composition, U+2581, controls, blanks."""
+    return squeezed(without_controls(without_marker(composed(unix_newlines(without_bom(text))))))
 
 
 def cleaning_changes(text: Column) -> dict[str, Column]:
     """What cleaning changes, as flags and counts."""
     first = without_bom(text)
     lines = unix_newlines(first)
-    marked = without_marker(lines)
+    marked = without_marker(composed(lines))
     plain = without_controls(marked)
     return {
         "had_bom": text != first,

@@ -13,11 +13,11 @@ from ..functions.hashing import content_key
 from ..session import staged
 
 
-def reason(text: Column, min_chars: int = 200, head: Column | None = None) -> Column:
+def reason(text: Column, min_chars: int = 200, head: Column | None = None, english: bool = True) -> Column:
     """The first reason to drop a cleaned text, in the fixed order; null if there is none. Null text is 'missing_text'."""
     return (
         F.when(text.isNull(), "missing_text")
-        .when(~tx.looks_english(text, head=head), "not_english")
+        .when(~tx.looks_english(text, head=head) if english else F.lit(False), "not_english")
         .when(tx.replacement_ratio(text) > 0.02, "replacement_chars")
         .when(F.length(text) == 0, "empty")
         .when(F.length(text) < min_chars, "too_short")

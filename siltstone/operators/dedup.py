@@ -122,6 +122,14 @@ def strip_boilerplate(df: DataFrame, id_col: str, source_col: str, min_docs: int
     return joined.groupBy("id").agg(tx.squeezed(back).alias("text"), F.count_if("gone").alias("n_removed"))
 
 
+def without_lines(df: DataFrame, id_col: str, source_col: str, gone: DataFrame) -> DataFrame:
+    """(id, text): each text without the stripped lines that gone(source, line) has for its source. Null texts are empty."""
+    d = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = lines(d, "id", "source").join(gone.withColumn("gone", F.lit(True)), ["source", "line"], "left")
+    back = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    return keys.groupBy("id").agg(tx.squeezed(back).alias("text"))
+
+
 def removed_lines(df: DataFrame, id_col: str, source_col: str, min_docs: int = 20) -> DataFrame:
     """(source, key, example, removed): how often each boilerplate line is cut, with the first example."""
     marked = candidate_lines(df, id_col, source_col)

@@ -169,3 +169,24 @@ def shuffled_prompt(text: Column, k: int) -> Column:
     words = F.split(text, " ")
     keyed = F.transform(words, lambda w, i: F.struct(F.md5(F.concat_ws(SEPARATOR, F.lit(str(k)), i.cast("string"), w).cast("binary")).alias("h"), i.alias("i"), w.alias("w")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["w"]), " ")
+
+
+def over_rank(rows: DataFrame, by: str, score: str, ident: str, most: dict[str, int]) -> DataFrame:
+    """The rows beyond the first ``most`` of their group, by score, highest first, then by the smaller id.
+
+    The boundary score of a group is found on counts by score, of which one row a distinct score is
+    ordered; among equal scores at the boundary the same is done by id. Groups without a number in
+    ``most`` keep all. A null score ranks last.
+    """
+    limit = F.coalesce(*[F.when(F.col(by) == g, F.lit(n)) for g, n in most.items()], F.lit(None).cast("int"))
+    asked = rows.withColumns({"siltstone_most": limit, "siltstone_score": F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))}).filter("siltstone_most is not null")
+    counts = asked.groupBy(by, "siltstone_score").agg(F.count("*").alias("n"), F.first("siltstone_most").alias("m"))
+    down = Window.partitionBy(by).orderBy(F.desc("siltstone_score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = counts.withColumn("up_to", F.sum("n").over(down)).filter((F.col("up_to") > F.col("m")) & (F.col("up_to") - F.col("n") <= F.col("m")))
+    edge = edge.groupBy(by).agg(F.max("siltstone_score").alias("edge"), F.max_by(F.col("m") - F.col("up_to") + F.col("n"), "siltstone_score").alias("room"))
+    placed = asked.join(edge, by)
+    below = placed.filter(F.col("siltstone_score") < F.col("edge"))
+    # ties at the boundary: those that share one score
+    tied = Window.partitionBy(by).orderBy(ident)
+    ties = placed.filter(F.col("siltstone_score") == F.col("edge")).withColumn("k", F.row_number().over(tied)).filter("k > room").drop("k")
+    return below.unionByName(ties).select(rows.columns)

@@ -29,7 +29,7 @@ SQUASH = lambda t: f"regexp_replace({STRIP(t)}, '{S}+', ' ', 'g')"
 NEWLINES = lambda t: f"regexp_replace({t}, chr(13) || chr(10) || '?', chr(10), 'g')"
 CONTROLS = lambda t: f"regexp_replace(regexp_replace({t}, '[\\x0b\\x0c]', chr(10), 'g'), '[\\x00-\\x08\\x0e-\\x1f\\x7f]', '', 'g')"
 SQUEEZE = lambda t: STRIP(f"regexp_replace(regexp_replace({t}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
-CLEAN = lambda t: SQUEEZE(CONTROLS(f"replace({NEWLINES(f'ltrim({t}, chr(65279))')}, chr(9601), '_')"))
+CLEAN = lambda t: SQUEEZE(CONTROLS(f"replace(nfc_normalize({NEWLINES(f'ltrim({t}, chr(65279))')}), chr(9601), '_')"))
 KEY = lambda t: f"md5({SQUASH(f'lower({t})')})"
 WORDS = lambda t, p: f"regexp_extract_all({t}, '{p}')"
 

@@ -121,17 +121,8 @@ def s24(spark, sf_dir):
 
 _sql("s06_tolerant_json", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'invalid_json' WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing_text' ELSE '' END AS reason FROM events",
      "SELECT event_id, CASE WHEN v IS NULL THEN 'invalid_json' WHEN variant_get(v, '$.k', 'string') IS NULL THEN 'missing_text' ELSE '' END AS reason FROM (SELECT event_id, try_parse_json(CASE WHEN event_id % 10 = 0 THEN substring(props, 1, 3) ELSE props END) AS v FROM events)")
-_sql("s18_rest_page", "SELECT user_id, unnest(list(event_id ORDER BY event_id)) AS event_id FROM events WHERE user_id < 5 GROUP BY user_id",
-     "SELECT user_id, explode(from_json(j, 'struct<collection:array<bigint>>').collection) AS event_id FROM (SELECT user_id, to_json(named_struct('collection', collect_list(event_id))) AS j FROM events WHERE user_id < 5 GROUP BY user_id)")
-
-
-@register("s18_rest_page_all")
-def s18_all(spark, sf_dir):
-    """The pages of all users."""
-    pages = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list("event_id").alias("collection"))).alias("j"))
-    return pages.select("user_id", F.explode(F.from_json("j", "struct<collection:array<bigint>>")["collection"]).alias("event_id"))
-
-
+_sql("s18_rest_page", "SELECT user_id, unnest(list(event_id ORDER BY event_id)) AS event_id FROM events GROUP BY user_id",
+     "SELECT user_id, explode(from_json(j, 'struct<collection:array<bigint>>').collection) AS event_id FROM (SELECT user_id, to_json(named_struct('collection', collect_list(event_id))) AS j FROM events GROUP BY user_id)")
 _sql("s13_probe_rows", "SELECT item_id, 'c' || CAST(item_id % 3 AS VARCHAR) AS category, split_part(text, ' ', 1) AS prompt, 2 AS n_distractors FROM benchmark",
      "SELECT item_id, p[0] AS category, p[1] AS prompt, size(split(p[2], '[|]')) AS n_distractors FROM (SELECT item_id, split(concat('c', CAST(item_id % 3 AS STRING), '\\t', split_part(text, ' ', 1), '\\t', 'x|y'), '\\t') AS p FROM benchmark)")
 _sql("s09_last_status", "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey", "SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import keywords, pages, tokens
+from ..operators import decisions, dedup, keywords, pages, tokens
+from ..sources import readers
 from .catalog import register
-from .common import docs, md5, table
+from .common import SQUEEZE, STRIP, docs, md5, table
 from .relational_queries import _sql
 
 
@@ -66,7 +67,25 @@ def f09(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", (F.regexp_count(F.lower("text"), F.lit("(tion|ment|der)")) >= 3).alias("may_pass"))
 
 
-_sql("f12_emptied", "SELECT doc_id, length(replace(text, 'e', '')) = 0 OR length(replace(text, 'e', '')) < 200 AS emptied FROM documents")
+@register(
+    "f12_emptied",
+    f"""WITH l AS (SELECT doc_id, source, pos, {STRIP('line')} AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+    r AS (SELECT l.doc_id, l.pos, l.line, d.line IS NOT NULL AS gone FROM l LEFT JOIN (SELECT source, line FROM l WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) >= 2) d ON d.source = l.source AND d.line = l.line),
+    t AS (SELECT doc_id, {SQUEEZE("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')")} AS text FROM r GROUP BY doc_id)
+    SELECT doc_id, length(text) < 200 AS emptied FROM t""",
+)
+def f12(spark, sf_dir):
+    """Documents that the lines that others of their source have leave too short."""
+    left = dedup.without_lines(docs(spark, sf_dir), "doc_id", "source", repeated_lines(docs(spark, sf_dir)))
+    return left.select(F.col("id").alias("doc_id"), (F.length("text") < 200).alias("emptied"))
+
+
+def repeated_lines(d):
+    """(source, line): lines that two documents of a source have."""
+    each = decisions.lines(d, "doc_id", "source").filter("line <> ''").select("source", "line", "doc_id").distinct()
+    return each.groupBy("source", "line").agg(F.count("*").alias("n")).filter("n >= 2").select("source", "line")
+
+
 _sql("f27_gwas_valid", "SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN 'NA' WHEN doc_id % 7 = 0 THEN '.' ELSE CAST(1.0 / (doc_id + 1) AS VARCHAR) END AS DOUBLE) IS NOT NULL AND doc_id % 11 <> 0 AS valid FROM documents",
      "SELECT doc_id, try_cast(CASE WHEN doc_id % 5 = 0 THEN 'NA' WHEN doc_id % 7 = 0 THEN '.' ELSE CAST(1.0D / (doc_id + 1) AS STRING) END AS DOUBLE) IS NOT NULL AND doc_id % 11 <> 0 AS valid FROM documents")
 _sql("x29_repository_parts", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)/([^/]+)', 2) AS owner, regexp_extract(url, '/([^/?]+)(?:[?]|$)', 1) AS repo FROM pages")
@@ -131,10 +150,25 @@ def f14(spark, sf_dir):
     return p.select("page_id", "p.link_share", (F.col("p.navigation") == 1).alias("navigation"))
 
 
-_sql("s10_source_table", "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'bad url' WHEN page_id % 4 = 0 THEN 'unknown kind' END AS fault FROM pages WHERE page_id % 36 <> 0",
-     "SELECT page_id, CASE WHEN NOT k IN ('site', 'page') THEN 'unknown kind' WHEN NOT u RLIKE '^https?://[^/]+' THEN 'bad url' END AS fault FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'blog' ELSE 'site' END AS k, CASE WHEN page_id % 9 = 0 THEN 'nowhere' ELSE url END AS u FROM pages WHERE page_id % 36 <> 0)")
-_sql("s19_search_page", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey < 40",
-     "SELECT o_custkey, r.id AS o_orderkey, r.s AS o_orderstatus FROM (SELECT o_custkey, explode(from_json(j, 'struct<hits:array<struct<id:bigint,s:string>>>').hits) AS r FROM (SELECT o_custkey, to_json(named_struct('hits', collect_list(named_struct('id', o_orderkey, 's', o_orderstatus)))) AS j FROM orders WHERE o_custkey < 40 GROUP BY o_custkey))")
+@register(
+    "s10_source_table",
+    "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'bad name' WHEN page_id % 4 = 0 THEN 'unknown kind' WHEN page_id % 9 = 0 THEN 'bad url' END AS fault FROM pages",
+)
+def s10(spark, sf_dir):
+    k = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.concat(F.when(k % 7 == 0, "-").otherwise("n"), k.cast("string")).alias("name"),
+        F.when(k % 4 == 0, "blog").otherwise("site").alias("kind"),
+        F.when(k % 9 == 0, "nowhere").otherwise(F.col("url")).alias("url"),
+    )
+    again = rows.select("name", "kind", "url")  # repeated rows are left out
+    judged = readers.source_table(again.union(again))
+    return judged.select(F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("page_id"), "fault")
+
+
+_sql("s19_search_page", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders",
+     "SELECT o_custkey, r.id AS o_orderkey, r.s AS o_orderstatus FROM (SELECT o_custkey, explode(from_json(j, 'struct<hits:array<struct<id:bigint,s:string>>>').hits) AS r FROM (SELECT o_custkey, to_json(named_struct('hits', collect_list(named_struct('id', o_orderkey, 's', o_orderstatus)))) AS j FROM orders GROUP BY o_custkey))")
 @register(
     "x17_pdf_back_matter",
     """WITH l AS (SELECT doc_id, unnest(['# Body', 'b', '# Funding', text, '# References', text || text, '# Appendix', 'z']) AS line, generate_subscripts([1,2,3,4,5,6,7,8], 1) - 1 AS pos, length(text) AS n FROM documents)

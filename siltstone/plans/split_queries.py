@@ -137,15 +137,9 @@ def j09(spark, sf_dir):
 
 @register(
     "j10_positional",
-    "WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS other, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0 AND n_chars > 100) SELECT a.doc_id, b.other FROM a JOIN b USING (source, k)",
+    "WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), b AS (SELECT doc_id AS other, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE n_chars > 100) SELECT a.doc_id, b.other FROM a JOIN b USING (source, k)",
 )
 def j10(spark, sf_dir):
-    return _positional(docs(spark, sf_dir).filter("doc_id % 2 = 0"))
-
-
-@register("j10_positional_all")
-def j10_all(spark, sf_dir):
-    """The join over all documents."""
     return _positional(docs(spark, sf_dir))
 
 
@@ -263,15 +257,9 @@ def tk07(spark, sf_dir):
     return p.select("piece", tokens.piece_category(F.col("piece")).alias("category"))
 
 
-@register("s15_documents_of_stream", """WITH t AS (SELECT doc_id, unnest([1] || list_transform(string_split(lang || source, ''), lambda c: ascii(c)) || [2]) AS token FROM documents WHERE doc_id < 300), n AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id)
+@register("s15_documents_of_stream", """WITH t AS (SELECT doc_id, unnest([1] || list_transform(string_split(lang || source, ''), lambda c: ascii(c)) || [2]) AS token FROM documents), n AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id)
 SELECT row_number() OVER (ORDER BY doc_id)::BIGINT AS document, n FROM n""")
 def s15(spark, sf_dir):
-    return _of_stream(docs(spark, sf_dir).filter("doc_id < 300"))
-
-
-@register("s15_documents_of_stream_all")
-def s15_all(spark, sf_dir):
-    """The stream of all documents."""
     return _of_stream(docs(spark, sf_dir))
 
 

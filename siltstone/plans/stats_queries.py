@@ -48,18 +48,12 @@ _sql(
 
 @register(
     "a20_bootstrap",
-    f"""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, {unit_sql(chr(39) + 'a' + chr(39), 'doc_id')} - {unit_sql(chr(39) + 'b' + chr(39), 'doc_id')} AS diff, n_chars::DOUBLE AS bytes FROM documents WHERE doc_id < 400),
+    f"""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, {unit_sql(chr(39) + 'a' + chr(39), 'doc_id')} - {unit_sql(chr(39) + 'b' + chr(39), 'doc_id')} AS diff, n_chars::DOUBLE AS bytes FROM documents),
     draws AS (SELECT r.range AS replicate, (('0x' || substr(md5('1' || chr(31) || r.range::VARCHAR || chr(31) || p.k::VARCHAR), 1, 15))::BIGINT % (SELECT count(*) FROM p)) AS k FROM p, range(0, 200) r),
     d AS (SELECT replicate, sum(diff) / sum(bytes) AS delta FROM draws JOIN p USING (k) GROUP BY replicate)
     SELECT count(*)::BIGINT AS replicates, round(1e6 * quantile_cont(delta, 0.025), 4) AS low, round(1e6 * quantile_cont(delta, 0.975), 4) AS high, round(2 * least(avg((delta <= 0)::INT), avg((delta >= 0)::INT)), 6) AS p FROM d""",
 )
 def a20(spark, sf_dir):
-    return _bootstrap(docs(spark, sf_dir).filter("doc_id < 400"))
-
-
-@register("a20_bootstrap_all")
-def a20_all(spark, sf_dir):
-    """The bootstrap over all documents."""
     return _bootstrap(docs(spark, sf_dir))
 
 
@@ -177,26 +171,17 @@ _sql("w05_cumulative_share", "SELECT source, n, round(sum(n) OVER (ORDER BY n DE
      "SELECT source, n, round(sum(n) OVER (ORDER BY n DESC, source) / sum(n) OVER (), 6) AS share FROM (SELECT source, sum(n_chars) AS n FROM documents GROUP BY source) t")
 _sql("w13_session_delta", "SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS steps FROM events")
 _sql("w14_gap_per_step", "SELECT event_id, round(value - 2.5, 6) AS gap FROM events WHERE event_type = 'click'")
-_sql("s35_abandoned_tail", "SELECT event_id, step FROM (SELECT event_id, step, min(step) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT event_id, event_id - CASE WHEN event_id % 100 = 99 THEN 40 ELSE 0 END AS step FROM events WHERE user_id = 3) a) b WHERE later IS NULL OR later > step")
+_sql("s35_abandoned_tail", "SELECT event_id, step FROM (SELECT event_id, step, min(step) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT user_id, event_id, event_id - CASE WHEN event_id % 100 = 99 THEN 40 ELSE 0 END AS step FROM events) a) b WHERE later IS NULL OR later > step")
 
 
 @register(
     "a34_cosine_topk",
-    """WITH p AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id)
+    """WITH p AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
     SELECT query, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rn FROM p) WHERE rn <= 5""",
 )
 def a34(spark, sf_dir):
     from ..operators import vectors
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vectors.nearest(e.filter("vec_id < 10"), e, "vec_id", "embedding", 5)
-
-
-@register("a34_cosine_topk_all")
-def a34_all(spark, sf_dir):
-    """The search with every query of the table: rows whose id is divisible by 50."""
-    from ..operators import vectors
-
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.nearest(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 

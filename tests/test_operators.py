@@ -208,6 +208,56 @@ def test_build(spark):
         BuildConfig(near_duplicates="maybe").validate()
 
 
+def test_build_from_folder_to_ledger(spark, tmp_path):
+    """Text files, by the reader, with text ids: named tables, reasons, an earlier split, parts of a long text."""
+    topics = [" ".join(f"the topic{k} of gene{k * j % 97} and" for j in range(40)) for k in range(24)]
+    (tmp_path / "md").mkdir()
+    for k, t in enumerate(topics):
+        (tmp_path / "md" / f"{k:02}.md").write_text(t)
+    (tmp_path / "md" / "a copy.md").write_text("\ufeff" + topics[3] + "\r\n")
+    (tmp_path / "md" / "accent1.md").write_text("caf\u00e9 the of and " * 30)
+    (tmp_path / "md" / "accent2.md").write_text("cafe\u0301 the of and " * 30)
+    (tmp_path / "md" / "bad.md.gz").write_bytes(b"no gzip")
+    (tmp_path / "md" / "long.md").write_text("\n\n".join(" ".join(f"the part{p} of long{j} and" for j in range(40)) for p in range(4)))
+    d = readers.text_folder(spark, "md", str(tmp_path / "md"))
+    config = BuildConfig(val_fraction=0.3, boilerplate="report", max_doc_chars=1200, max_near_documents=100)
+    out = build(d, config)
+    book = {r["doc_id"]: r for r in out["ledger"].collect()}
+    assert out["ledger"].columns == ["source", "doc_id", "title", "status", "reason", "chars", "tokens", "keyword_hits", "group", "content_hash"]
+    assert book["a copy.md"]["reason"] == "exact_duplicate" or book["03.md"]["reason"] == "exact_duplicate"
+    assert {book["accent1.md"]["reason"], book["accent2.md"]["reason"]} == {"", "exact_duplicate"}  # composed and decomposed
+    assert book["bad.md"]["reason"] == "bad_gzip"
+    assert {k for k in book if k.startswith("long.md")} >= {"long.md", "long.md#000002"}
+    live = [r for r in book.values() if r["status"] in ("train", "val")]
+    assert {r["status"] for r in live} == {"train", "val"} and all(r["group"].startswith("md:") and r["tokens"] >= r["chars"] + 2 for r in live)
+    # what an earlier build held out stays so, whatever the seed
+    import dataclasses
+
+    again = build(d, dataclasses.replace(config, seed="other"), earlier=out["ledger"].withColumnRenamed("status", "split"))["ledger"].collect()
+    assert {r["doc_id"]: r["status"] for r in again} == {k: r["status"] for k, r in book.items()}
+    with pytest.raises(ValueError, match="more than"):
+        build(d, dataclasses.replace(config, max_near_documents=3))
+    some = build(d, dataclasses.replace(config, sample=0.5, near_duplicates="off"))["ledger"]
+    assert 5 < some.filter("reason = 'not_sampled'").count() < 25
+    scoped = dataclasses.replace(config, keywords=("nowhere",), markdown_sources=("md",), near_duplicates="off")
+    assert build(d, dataclasses.replace(scoped, keyword_scope="web"))["ledger"].filter("reason = 'keyword_min_hits'").count() == 0
+    assert build(d, dataclasses.replace(scoped, keyword_scope="all"))["ledger"].filter("status <> 'skipped'").count() == 0
+    for wrong in ({"similarity": 0.4}, {"sample": 0}, {"keyword_scope": "x"}, {"boilerplate": "x"}, {"language": "x"}, {"max_doc_chars": 5}, {"keywords": ("***",)}):
+        with pytest.raises(ValueError):
+            BuildConfig(**wrong).validate()
+
+
+def test_over_rank(spark):
+    from siltstone.operators.items import over_rank
+
+    random.seed(4)
+    rows = [(k, random.choice("ab"), random.choice([None, 0.5, 0.5, 1.0, 2.0, random.random()])) for k in range(300)]
+    d = spark.createDataFrame(rows, "id long, s string, score double")
+    got = {r["id"] for r in over_rank(d, "s", "score", "id", {"a": 40, "c": 3}).collect()}
+    order = sorted((r for r in rows if r[1] == "a"), key=lambda r: (-(r[2] if r[2] is not None else float("-inf")), r[0]))
+    assert got == {r[0] for r in order[40:]}
+
+
 def test_portable_and_compatible_hashes(spark):
     assert 0 <= blake_unit("58", "sample", "a") < 1
     assert one(spark, " A  b", content_key) == one(spark, "a b ", content_key)
