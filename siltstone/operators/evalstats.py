@@ -117,3 +117,17 @@ def numeric_correct(answer: Column, kind: Column, low: Column, high: Column, gen
         .otherwise(within),
         F.lit(False),
     )
+
+
+def inflation(hits: DataFrame, strength: str = "strength") -> float:
+    """Genomic inflation (A16): the median chi-square of one degree of freedom over that of no effect, from -log10 p up to 300.
+
+    The median comes first, as the map to chi-square only turns the order; nan without rows.
+    """
+    from statistics import NormalDist
+
+    middle = hits.agg(F.median(F.least(F.col(strength), F.lit(300.0)))).first()[0]
+    if middle is None:
+        return float("nan")
+    chi = lambda p: NormalDist().inv_cdf(p / 2) ** 2 if p < 1 else 0.0
+    return chi(10.0**-middle) / chi(0.5)

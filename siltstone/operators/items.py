@@ -152,10 +152,11 @@ def budget_sample(df: DataFrame, order: Column, size: str, budget: int) -> DataF
 
 def even_sample(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows evenly spaced in order: places floor(i * (n - 1) / (k - 1))."""
+    from .evalstats import numbered
+
     n = df.agg(F.count("*").alias("n"))
     places = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(max(k - 1, 1))))).alias("place")).distinct()
-    w = Window.orderBy(order)
-    return df.withColumn("place", F.row_number().over(w).cast("long") - 1).join(F.broadcast(places), "place", "left_semi")
+    return numbered(df, order).withColumnRenamed("k", "place").join(F.broadcast(places), "place", "left_semi")
 
 
 def newest(df: DataFrame, key: list[str], *order: str) -> DataFrame:

@@ -53,7 +53,7 @@ def allowed(urls: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
     """urls with allowed: of the rules(host, pattern, allow) of the host that fit, the longest decides, and allowing wins a tie."""
     pattern = F.regexp_replace(F.regexp_replace("pattern", r"([.+?()\[\]{}|^\\])", r"\\$1"), r"\*", ".*")
     own = urls.withColumn("siltstone_path", path)
-    fits = own.join(F.broadcast(rules), "host").withColumn("rule", F.concat(F.lit("^"), pattern)).filter("siltstone_path rlike rule")
+    fits = own.join(rules, "host").withColumn("rule", F.concat(F.lit("^"), pattern)).filter("siltstone_path rlike rule")
     best = fits.groupBy("host", "siltstone_path").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("b"))
     return own.join(best, ["host", "siltstone_path"], "left").withColumn("allowed", F.coalesce("b.allow", F.lit(True))).drop("b", "siltstone_path")
 

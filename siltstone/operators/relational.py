@@ -42,3 +42,18 @@ def salted_sum(df: DataFrame, keys: list[str], value: Column, salts: int = 32) -
     """Sums by keys in two steps, for keys that a few values dominate beyond what partial sums take off."""
     salted = df.withColumn("siltstone_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     return salted.groupBy(*keys, "siltstone_salt").agg(F.sum(value).alias("s")).groupBy(*keys).agg(F.sum("s").alias("total"))
+
+
+def nearest_by(left: DataFrame, right: DataFrame, by: str, place: str) -> DataFrame:
+    """``left`` with nearest, the place of the closest row of ``right`` of the same ``by`` (the smaller of two as close), or null.
+
+    The two tables are laid in one order and each row looks to both sides, so nothing is compared with everything.
+    """
+    names = left.columns
+    a = left.select(F.struct(*names).alias("row"), F.col(by).alias("k"), F.col(place).alias("at"), F.lit(None).cast(dict(right.dtypes)[place]).alias("here"))
+    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(by).alias("k"), F.col(place).alias("at"), F.col(place).alias("here"))
+    order = Window.partitionBy("k").orderBy("at")
+    back = F.last("here", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("here", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    closer = F.when(F.col("back").isNull() | (F.col("ahead") - F.col("at") < F.col("at") - F.col("back")), F.col("ahead")).otherwise(F.col("back"))
+    return a.union(b).withColumns({"back": back, "ahead": ahead}).filter("row is not null").select("row.*", closer.alias("nearest"))

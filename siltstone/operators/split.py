@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,8 +25,9 @@ def group_split(
 
     Groups that span sources or are too large a part of the budget train; one that would overfill it
     is passed over. ``settled`` (root, split) fixes groups first, and those of validation take their
-    part of the budget. The fold is sequential by definition: it holds one array a source, of the
-    groups that can enter at all (small enough, of one source, not settled), a few numbers each.
+    part of the budget. The fold is sequential by definition: a task has the groups of one source that
+    can enter at all (small enough, of one source, not settled, before the budget is full), a few
+    numbers each. A null source is a source of its own.
     """
     g = groups(df, seed)
     g = g.withColumn("fixed", F.lit(None).cast("string")) if settled is None else g.join(settled.withColumnRenamed("split", "fixed"), "root", "left")
@@ -36,19 +38,36 @@ def group_split(
     )
     g = g.join(totals, "source")
     able = F.col("fixed").isNull() & ~F.col("cross") & (F.col("chars") <= share * F.col("budget")) & (F.col("n") >= 2)
-    offered = g.filter(able).select("source", "root", "chars", "budget", "start", F.struct("u", "first", "root", "chars").alias("g"))
-    folded = offered.groupBy("source").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.first("budget").alias("budget"), F.first("start").alias("start"))
-    state = F.struct(F.col("start").alias("used"), F.array().cast("array<bigint>").alias("roots"))
-
-    def take(s: Column, x: Column) -> Column:
-        fits = (s["used"] < F.col("budget")) & (s["used"] + x["chars"] <= F.col("budget") * 1.1)
-        return F.struct(F.when(fits, s["used"] + x["chars"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["roots"], F.array(x["root"]))).otherwise(s["roots"]).alias("roots"))
-
-    chosen = folded.select("source", F.explode(F.aggregate("gs", state, take)["roots"]).alias("root")).withColumn("val", F.lit(True))
+    offered = g.filter(able).select("source", "root", "chars", "budget", "start", "u", "first")
+    # groups of up to a tenth of the budget always fit while there is budget: once these fill it, nothing later enters
+    bucket = F.floor(F.col("u") * BUCKETS)
+    small = F.when(F.col("chars") <= 0.1 * F.col("budget"), F.col("chars")).otherwise(0)
+    sums = offered.groupBy("source", bucket.alias("bucket")).agg(F.sum(small).alias("chars"), F.first("budget").alias("budget"))
+    up = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = sums.withColumn("up_to", F.sum("chars").over(up)).filter(F.col("up_to") >= F.col("budget")).groupBy("source").agg(F.min("bucket").alias("last"))
+    offered = offered.join(last, "source", "left").filter(F.col("last").isNull() | (bucket <= F.col("last"))).drop("last")
+    chosen = offered.groupBy("source").applyInPandas(_fold, "source string, root long, val boolean")
     out = g.select("source", "root", "fixed").join(chosen, ["source", "root"], "left")
     return out.select("source", "root", F.coalesce("fixed", F.when(F.col("val"), "val")).alias("s")).select("source", "root", F.coalesce("s", F.lit("train")).alias("split"))
 
 
+#: Buckets of a group's unit, by which the part of a source that can enter is found.
+BUCKETS = 4096
+
+
+def _fold(groups: pd.DataFrame) -> pd.DataFrame:
+    """The groups of one source that are taken, in the order of their units."""
+    groups = groups.sort_values(["u", "first"], kind="stable")
+    used, budget, taken = float(groups["start"].iloc[0]), float(groups["budget"].iloc[0]), []
+    for root, chars in zip(groups["root"], groups["chars"], strict=True):
+        if used >= budget:
+            break
+        if used + chars <= budget * 1.1:
+            used += chars
+            taken.append(root)
+    return pd.DataFrame({"source": [groups["source"].iloc[0]] * len(taken), "root": taken, "val": [True] * len(taken)})
+
+
 def previous_split(df: DataFrame, earlier: DataFrame) -> DataFrame:
     """(root, split): what an earlier build made of a cluster, known by (source, id) or by content; training wins.
 

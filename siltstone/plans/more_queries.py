@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import decisions, dedup, keywords, pages, tokens
+from ..functions import markup
+from ..operators import decisions, dedup, keywords, pages, relational, tokens, vectors
 from ..sources import readers
 from .catalog import register
 from .common import SQUEEZE, STRIP, docs, md5, table
@@ -192,3 +193,30 @@ def x24(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["doc_id", "window", "chars"])
 
     return docs(spark, sf_dir).select("doc_id", "text").mapInPandas(windows, "doc_id long, window long, chars long")
+
+
+@register(
+    "j19_nearest",
+    """SELECT c.event_id, min_by(p.event_id, struct_pack(d := abs(p.event_id - c.event_id), e := p.event_id)) AS nearest
+    FROM events c LEFT JOIN events p ON p.user_id = c.user_id AND p.event_type = 'purchase' WHERE c.event_type = 'click' GROUP BY c.event_id""",
+)
+def j19(spark, sf_dir):
+    """For each click the nearest purchase of its user."""
+    e = table(spark, sf_dir, "events")
+    clicks = e.filter("event_type = 'click'").select("event_id", "user_id")
+    return relational.nearest_by(clicks, e.filter("event_type = 'purchase'"), "user_id", "event_id").select("event_id", "nearest")
+
+
+@register("a34_principal")
+def a34_principal(spark, sf_dir):
+    """The two leading principal coordinates of every embedding."""
+    return vectors.principal(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")[0]
+
+
+@register("p02_converted")
+def p02(spark, sf_dir):
+    """Pages as files of several kinds, each by its converter."""
+    k = F.col("page_id") % 4
+    path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(k == 0, ".html").when(k == 1, ".Rmd").when(k == 2, ".csv").otherwise(".bin"))
+    files = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.col("html").cast("binary").alias("content"))
+    return markup.converted(files).select("page_id", "kind", F.md5(F.col("markdown").cast("binary")).alias("digest"))

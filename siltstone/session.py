@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,13 @@ def session(master: str = "local[*]", app: str = "siltstone", **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies under spark.checkpoint.dir. Where that is unset (tests, a laptop in local mode) a
-    temporary folder of this machine is used, and the setting is made for the session.
+    It lies under spark.checkpoint.dir. Where that is unset in local mode (tests, a laptop) a temporary
+    folder of this machine is used, and the setting is made for the session; a cluster must set it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"

@@ -5,16 +5,17 @@ from __future__ import annotations
 import gzip
 import re
 import zlib
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.convert import decode_bytes
 
-#: Every source gives these columns; ``ord`` orders the rows of a source.
+#: Every source gives these columns; ``ord`` orders the rows of a source, and doc_id those of one ord.
 DOCUMENT = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("doc_id", T.StringType()),
     T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -31,6 +32,19 @@ def source_spec(spec: str) -> tuple[str, str]:
     return name, folder
 
 
+def _in_order(rows: DataFrame, files: list[str]) -> DataFrame:
+    """``rows`` (with file_path and block, where its split begins) with ord: files by name, rows as they stand in them.
+
+    Within a split rows are read in order, and a split has fewer rows than bytes.
+    """
+    plain = sorted({re.sub("^file:/+", "/", unquote(f)) for f in files})
+    ranks = rows.sparkSession.createDataFrame([(f, k) for k, f in enumerate(plain)] or [("", 0)], "file_path string, rank long")
+    own = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B"))), "file_path"), "^file:/+", "/")
+    place = F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = rows.withColumn("place", place).withColumn("file_path", own)
+    return placed.join(ranks, "file_path", "left").withColumn("ord", F.shiftleft(F.coalesce("rank", F.lit(0).cast("long")), 42) + F.col("place")).drop("rank", "place", "file_path", "block")
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())]))
 def _opened(content: pd.Series, path: pd.Series) -> pd.DataFrame:
     def one(raw, p):
@@ -59,7 +73,7 @@ def text_folder(spark: SparkSession, name: str, folder: str, recursive: bool = T
     small = F.when(F.col("length") <= MOST_BYTES, F.col("content")).otherwise(F.lit(b""))
     read = files.withColumn("r", _opened(small, F.col("rel")))
     return read.select(
-        F.lit(name).alias("source"), F.xxhash64("rel").alias("ord"), F.regexp_replace("rel", r"(?i)\.gz$", "").alias("doc_id"), F.lit("").alias("title"),
+        F.lit(name).alias("source"), F.lit(0).cast("long").alias("ord"), F.regexp_replace("rel", r"(?i)\.gz$", "").alias("doc_id"), F.lit("").alias("title"),
         F.col("r.text").alias("text"), F.lit(None).cast("double").alias("score"), F.when(F.col("length") > MOST_BYTES, "file_too_large").otherwise(F.col("r.reason")).alias("reason"),
     )
 
@@ -81,13 +95,15 @@ def parquet(spark: SparkSession, name: str, path: str, text: str = "text", id_:
 
 def json_lines(spark: SparkSession, name: str, path: str, text: str = "text", id_: str = "id", title: str = "title") -> DataFrame:
     """JSON Lines, damaged rows and all: reason is invalid_json or missing_text. Blank lines don't count; .gz is read as it is."""
-    rows = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(path)
+    rows = raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"))
+    rows = _in_order(rows, raw.inputFiles()).filter(F.trim("value") != "").select("value", "file", "ord", F.try_parse_json("value").alias("v"))
     get = lambda key: F.try_variant_get("v", f"$['{key}']", "string")
     is_text = F.schema_of_variant(F.try_variant_get("v", f"$['{text}']", "variant")) == "STRING"
     ident = F.coalesce(get(id_), F.concat_ws(":", "file", F.hex(F.xxhash64("value"))))
     reason = F.when(F.col("v").isNull(), "invalid_json").when(~F.coalesce(is_text, F.lit(False)), "missing_text")
     return rows.select(
-        F.lit(name).alias("source"), F.xxhash64(ident).alias("ord"), ident.alias("doc_id"), F.coalesce(get(title), F.lit("")).alias("title"),
+        F.lit(name).alias("source"), "ord", ident.alias("doc_id"), F.coalesce(get(title), F.lit("")).alias("title"),
         F.when(is_text, get(text)).alias("text"), F.lit(None).cast("double").alias("score"), reason.alias("reason"),
     )
 
@@ -128,7 +144,8 @@ def _shards(path: str) -> list[str]:
 
     fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-    shards = sorted(f.path for f in found if f.extension == "arrow")
+    scheme = path.partition("://")[0] + "://" if "://" in path else ""
+    shards = sorted(scheme + f.path if scheme else f.path for f in found if f.extension == "arrow")
     if not shards:
         raise FileNotFoundError(f"no .arrow files in {path}")
     return shards
@@ -136,8 +153,10 @@ def _shards(path: str) -> list[str]:
 
 def _reader(path: str):
     import pyarrow as pa
+    import pyarrow.fs as pafs
 
-    source = pa.memory_map(path)
+    fs, inside = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    source = fs.open_input_file(inside)
     try:
         return pa.ipc.open_stream(source)
     except pa.ArrowInvalid:
@@ -153,7 +172,7 @@ def arrow_set(spark: SparkSession, path: str, columns: list[str] | None = None)
 def ledger(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """A tab-separated list with a header, quotes as they are; of a key the last line counts."""
     d = spark.read.option("sep", "\t").option("header", "true").option("quote", "").csv(path)
-    placed = d.withColumn("at", F.monotonically_increasing_id())
+    placed = _in_order(d.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block")), d.inputFiles()).withColumnRenamed("ord", "at")
     rest = [c for c in d.columns if c != key]
     return placed.groupBy(key).agg(F.max_by(F.struct(*rest), "at").alias("x")).select(key, "x.*").select(*d.columns)
 
@@ -183,44 +202,56 @@ def probes(spark: SparkSession, path: str) -> DataFrame:
     return p.select(at(0, None).alias("category"), at(1, None).alias("difficulty"), at(2, 0).alias("prompt"), at(3, 1).alias("answer"), F.split(at(4, 2), r"\|").alias("distractors"))
 
 
-# What the columns of association tables are called.
+# What the columns of association tables are called; the first name that a table has counts.
 GWAS_NAMES = {
-    "snp": ("snp", "rsid", "id", "markername", "variant_id", "snpid"),
-    "chromosome": ("chr", "chrom", "chromosome", "#chrom", "hm_chrom"),
-    "position": ("bp", "pos", "position", "genpos", "base_pair_location", "hm_pos"),
-    "p": ("p", "pval", "pvalue", "p_value", "p-value", "p_bolt_lmm"),
-    "log10p": ("log10p", "neglog10p", "mlog10p", "neg_log_10_p_value"),
+    "snp": ("snp", "rsid", "variant_id", "markername", "id", "snpid", "variant"),
+    "chr": ("chr", "chrom", "chromosome", "#chrom", "#chr", "hg19chrc"),
+    "pos": ("bp", "pos", "position", "base_pair_location", "genpos", "bp_hg19"),
+    "p": ("p", "pval", "p_value", "pvalue", "p-value", "p.value", "p_bolt_lmm", "log10p", "neglog10p", "mlogp"),
+    "beta": ("beta", "b", "effect", "logor", "or"),
+    "allele": ("effect_allele", "ea", "a1", "allele1", "alt", "tested_allele", "alt_allele"),
 }
+# The p-value columns that hold -log10 p.
+GWAS_NEGLOG = ("log10p", "neglog10p", "mlogp")
 GWAS_NULLS = ("NA", "nan", "NaN", "", ".", "-")
 
 
 def gwas_columns(columns: list[str]) -> dict[str, str]:
-    """Which column of a table is which, by the names in use."""
-    low = {c.lower(): c for c in columns}
-    return {k: next(low[n] for n in names if n in low) for k, names in GWAS_NAMES.items() if any(n in low for n in names)}
+    """Which column of a table is which."""
+    by_name = {c.strip().lower(): c for c in reversed(columns)}
+    out = {}
+    for key, names in GWAS_NAMES.items():
+        present = [n for n in names if n in by_name]
+        if present:
+            out[key] = by_name[present[0]]
+    return out
 
 
 def gwas(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """(snp, chromosome, position, strength): strength is -log10 p; rows without a position or a p-value in (0, 1] are left out."""
+    """(snp, chromosome, position, strength, beta, allele): strength is -log10 p; rows without a position or a p-value in (0, 1] are left out."""
     d = spark.read.option("sep", sep).option("header", "true").option("quote", "").csv(path)
     names = gwas_columns(d.columns)
-    if "position" not in names or not {"p", "log10p"} & set(names):
-        raise ValueError(f"{path} has no position or no p-value: {d.columns}")
+    if not {"chr", "pos", "p"} <= set(names):
+        raise ValueError(f"{path} has no chromosome, no position or no p-value: {d.columns}")
 
     def value(key: str):
+        if key not in names:
+            return F.lit(None).cast("string")
         c = F.trim(F.col(f"`{names[key]}`"))
         return F.when(~c.isin(*GWAS_NULLS), F.replace(c, F.lit(","), F.lit(".")) if sep == ";" else c)
 
-    if "log10p" in names:
-        strength = value("log10p").try_cast("double")
+    if names["p"].strip().lower() in GWAS_NEGLOG:
+        strength = value("p").try_cast("double")
     else:  # by mantissa and exponent, for p-values below what a double holds
         m, e = F.regexp_extract(value("p"), r"^([0-9.]+)", 1).try_cast("double"), F.regexp_extract(value("p"), r"[eE]([+-]?\d+)$", 1)
         strength = F.when(m > 0, -(F.log10(m) + F.coalesce(e.try_cast("int"), F.lit(0))))
     out = d.select(
-        (value("snp") if "snp" in names else F.lit(None).cast("string")).alias("snp"),
-        (F.regexp_replace(F.lower(value("chromosome")), "^chr", "") if "chromosome" in names else F.lit(None).cast("string")).alias("chromosome"),
-        value("position").try_cast("double").cast("long").alias("position"),
+        value("snp").alias("snp"),
+        F.regexp_replace(F.lower(value("chr")), "^chr", "").alias("chromosome"),
+        value("pos").try_cast("double").cast("long").alias("position"),
         strength.alias("strength"),
+        value("beta").try_cast("double").alias("beta"),
+        value("allele").alias("allele"),
     )
     return out.filter("position is not null and strength >= 0")
 
@@ -246,3 +277,23 @@ def source_table(rows: DataFrame, kinds: tuple[str, ...] = ("site", "github", "p
         .when(~F.coalesce(F.col("url"), F.lit("")).rlike(r"^https?://[^/\s]+(/\S*)?$"), "bad url")
     )
     return rows.dropDuplicates(["name", "kind", "url"]).withColumn("fault", fault)
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A table by its extension (S11): Parquet, CSV, TSV, JSON Lines, JSON; a NaN in it is null."""
+    kind = re.sub(r"(?i)\.gz$", "", path.rstrip("/")).rpartition(".")[2].lower()
+    if kind == "parquet":
+        d = spark.read.parquet(path)
+    elif kind in ("csv", "tsv"):
+        d = spark.read.option("header", "true").option("inferSchema", "true").option("multiLine", "true").option("escape", '"').option("sep", "\t" if kind == "tsv" else ",").csv(path)
+    elif kind in ("jsonl", "ndjson", "json"):
+        d = spark.read.option("multiLine", str(kind == "json").lower()).json(path)
+    else:
+        raise ValueError(f"{path}: no reader for .{kind}")
+    return d.select(*[F.when(~F.isnan(f"`{n}`"), F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in d.dtypes])
+
+
+def printed_list(value: Column) -> Column:
+    """The texts of a list as Python or numpy prints it: ['a', "it's"]."""
+    quoted = F.regexp_extract_all(value, F.lit(r"""('(?:[^'\\\\]|\\\\.)*'|"(?:[^"\\\\]|\\\\.)*")""".replace("\\\\\\\\", "\\\\")), F.lit(1))
+    return F.transform(quoted, lambda q: F.regexp_replace(F.substr(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
