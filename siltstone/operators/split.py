@@ -65,7 +65,8 @@ def _fold(groups: pd.DataFrame) -> pd.DataFrame:
         if used + chars <= budget * 1.1:
             used += chars
             taken.append(root)
-    return pd.DataFrame({"source": [groups["source"].iloc[0]] * len(taken), "root": taken, "val": [True] * len(taken)})
+    source = pd.Series([groups["source"].iloc[0]] * len(taken), dtype=object)
+    return pd.DataFrame({"source": source, "root": pd.Series(taken, dtype="int64"), "val": pd.Series([True] * len(taken), dtype=bool)})
 
 
 def previous_split(df: DataFrame, earlier: DataFrame) -> DataFrame:
