@@ -16,9 +16,11 @@ reference blocks of the anchors in it, and these are what the index brings toget
    word from there where it has no factor.
 3. A document's covered words are those of its spans.
 
-An anchor with more than ``REFERENCES`` different blocks is not held in one task. There the windows
-of each of its blocks are looked up singly, (anchor, window) -> smallest document, which is a join
-that Spark deals out, and gives the spans of the parse.
+An anchor with more than ``REFERENCES`` different blocks is not held in one task. Of the words that a
+window has besides the anchor either the half behind it or more than the half ahead of it are its
+neighbours there, so such blocks are dealt out by these two longer anchors, and parsed against the
+blocks that share one; where these are too many still, by longer ones again, until an anchor is a
+whole window, whose smallest document is a sum.
 
 Words, anchors, blocks and windows are known by 64-bit hashes; a block or window counts as equal if its
 anchor is as well. A doc_id shared by several rows counts as one document. Rows with a null id are
@@ -29,6 +31,8 @@ dedup_substrings(); strip_substrings() has no outputs of its own and keeps them
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,9 +94,6 @@ class Blocks:
         with np.errstate(over="ignore"):  # where the anchor stands in the block is part of what it is
             self.content = mix(inside + mix((place[head] - self.start[head]).astype(np.uint64)))
 
-    def window_hashes(self, which: np.ndarray) -> np.ndarray:
-        return self.rolling.of(self.start[which], self.start[which] + self.window)
-
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
@@ -180,36 +181,36 @@ def _open_blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
 
 
 def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, content, id, offset, words) sorted by anchor and id: of each block that has factors (id, content, mask)."""
-    anchor, references = None, []
+    """Rows (key, content, id, offset, lo, words) sorted by key and id, which agree at lo: of each block that has factors (id, content, mask)."""
+    key, references = None, []
     for batch in batches:
         got = []
-        for own, content, i, offset, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own != anchor:
-                anchor, references = own, []
+        for own, content, i, offset, lo, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != key:
+                key, references = own, []
             words = np.frombuffer(raw, "<u8")
             earlier = [(w, o) for w, o, j in references if j < i]
-            if earlier and (mask := _mask(factors(words, offset, earlier, window), offset, window)):
+            if earlier and (mask := _mask(factors(words, lo, earlier, window), offset, window)):
                 got.append((i, content, mask))
-            references.append((words, offset, i))
+            references.append((words, lo, i))
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["id", "content", "mask"])
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, hash, id, content, mask) of the windows of blocks whose anchor has too many references for one task."""
-    for batch in slices(batches, "text"):
-        b = Blocks(batch.column("text"), window, gram)
-        open_blocks = _among(b.owner, b.content, batch.column("open"))
-        which = np.flatnonzero(open_blocks[b.block]) if len(b.block) else b.block
-        if not len(which):
-            continue
-        ids = np.asarray(batch.column("id"))[b.row[which]]
-        block = b.block[which]
-        yield pa.RecordBatch.from_arrays(
-            [_signed(b.anchor[block]), _signed(b.window_hashes(which)), pa.array(ids), _signed(b.content[block]), pa.array(np.int64(1) << b.before[which])],
-            ["anchor", "hash", "id", "content", "mask"],
-        )
+def _longer(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (content, id, offset, lo, hi, words), whose words [lo, hi) are an anchor, under the two longer anchors that a window may hold."""
+    for batch in batches:
+        out = []
+        for content, i, offset, lo, hi, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            behind = (window - hi + lo + 1) // 2
+            ahead = window - hi + lo - behind + 1
+            for a, b in ((lo, hi + behind), (lo - ahead, hi)):
+                if a >= 0 and 8 * b <= len(raw):
+                    key = hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest()
+                    out.append((int.from_bytes(key, "little", signed=True), content, i, offset, a, b, raw))
+        if out:
+            kinds = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", *batch.schema.names])
 
 
 def _masks(column: pa.Array, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -279,16 +280,31 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         ),
         "blocks",
     )
-    opened = arrow_map(docs.join(blocks.filter(F.size("open") > 0).select("id", "open"), "id"), _open_blocks, "anchor long, content long, id long, offset long, words binary", window, gram)
-    parsed = arrow_map(opened.repartition("anchor").sortWithinPartitions("anchor", "id"), _parse, "id long, content long, mask long", window)
-    windows = docs.join(blocks.filter(F.size("hot") > 0).select("id", F.col("hot").alias("open")), "id")
-    windows = staged(arrow_map(windows, _open_windows, "anchor long, hash long, id long, content long, mask long", window, gram).distinct(), "windows")
-    early = windows.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    late = windows.join(early.drop("last"), ["anchor", "hash"]).filter("id > first").groupBy("id", "content").agg(F.bit_or("mask").alias("mask"))
-    masks = parsed.union(late).groupBy("id").agg(F.collect_list(F.struct("content", "mask")).alias("masks"))
+    block = "anchor long, content long, id long, offset long, words binary"
+    asked = lambda c: docs.join(blocks.filter(F.size(c) > 0).select("id", F.col(c).alias("open")), "id")
+    found = [_parsed(arrow_map(asked("open"), _open_blocks, block, window, gram).select(F.col("anchor").alias("key"), "content", "id", "offset", F.col("offset").alias("lo"), "words"), window)]
+    hot = staged(arrow_map(asked("hot"), _open_blocks, block, window, gram), "hot")
+    row = ["content", "id", "offset", "lo", "hi", "words"]
+    hot = hot.select("content", "id", "offset", F.col("offset").alias("lo"), (F.col("offset") + gram).alias("hi"), "words")
+    kind = "key long, content long, id long, offset long, lo long, hi long, words binary"
+    while not hot.isEmpty():
+        dealt = staged(arrow_map(hot.select(*row), _longer, kind, window), "longer")
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+        dealt = dealt.join(sizes, "key")
+        found.append(_parsed(dealt.filter(F.col("n") <= references).select("key", "content", "id", "offset", "lo", "words"), window))
+        hot = dealt.filter(F.col("n") > references)
+        whole = F.col("hi") - F.col("lo") >= window
+        found.append(hot.filter(whole & (F.col("id") > F.col("first"))).select("id", "content", F.expr("shiftleft(1L, cast(offset - lo AS int))").alias("mask")))
+        hot = hot.filter(~whole)
+    masks = functools.reduce(DataFrame.union, found).groupBy("id", "content").agg(F.bit_or("mask").alias("mask"))
+    masks = masks.groupBy("id").agg(F.collect_list(F.struct("content", "mask")).alias("masks"))
     return blocks.select("id", "blocks").join(masks, "id", "full")
 
 
+def _parsed(rows: DataFrame, window: int) -> DataFrame:
+    return arrow_map(rows.repartition("key").sortWithinPartitions("key", "id"), _parse, "id long, content long, mask long", window)
+
+
 def _stripped(df: DataFrame, id_col: str, text_col: str, window: int, gram: int, references: int) -> DataFrame:
     """``df`` with siltstone_n_words, siltstone_n_removed and siltstone_kept."""
     found = spans(df, id_col, text_col, window, gram, references)
