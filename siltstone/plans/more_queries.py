@@ -15,24 +15,24 @@ from .relational_queries import _sql
 
 @register(
     "x30_page_furniture",
-    """WITH l AS (SELECT doc_id % 20 AS doc, doc_id // 20 AS page, unnest(['Journal of Tests', substr(text, 1, 30), 'end ' || doc_id, (doc_id // 20 + 5)::VARCHAR]) AS line, unnest([0, 1, 2, 3]) AS pos FROM documents)
+    """WITH l AS (SELECT doc_id % 20 AS doc, doc_id // 20 AS page, unnest(['Journal of Tests', text, 'end ' || doc_id, (doc_id // 20 + 5)::VARCHAR]) AS line, unnest([0, 1, 2, 3]) AS pos FROM documents)
     SELECT doc, page, pos, pos IN (0, 2, 3) AS furniture FROM l WHERE pos <> 1""",
 )
 def x30(spark, sf_dir):
     """Running heads, numbered feet and stepping page numbers; the line of text between them is left out of the comparison."""
     i = F.col("doc_id")
-    parts = F.array(F.lit("Journal of Tests"), F.substring("text", 1, 30), F.concat(F.lit("end "), i.cast("string")), (F.floor(i / 20) + 5).cast("string"))
+    parts = F.array(F.lit("Journal of Tests"), F.col("text"), F.concat(F.lit("end "), i.cast("string")), (F.floor(i / 20) + 5).cast("string"))
     lines = docs(spark, sf_dir).select((i % 20).alias("doc"), F.floor(i / 20).alias("page"), F.posexplode(parts).alias("pos", "line"))
     return pages.furniture(lines).filter("pos <> 1").select("doc", "page", "pos", "furniture")
 
 
 @register(
     "x16_drop_sections",
-    """WITH l AS (SELECT doc_id, unnest(['# T', 'a', '## References', 'r', '### Sub', 's', '## Methods', substr(text, 1, 40), '# Funding', 'f']) AS line, generate_subscripts([1,2,3,4,5,6,7,8,9,10], 1) - 1 AS pos FROM documents)
+    """WITH l AS (SELECT doc_id, unnest(['# T', 'a', '## References', 'r', '### Sub', 's', '## Methods', text, '# Funding', 'f']) AS line, generate_subscripts([1,2,3,4,5,6,7,8,9,10], 1) - 1 AS pos FROM documents)
     SELECT doc_id AS doc, pos::INTEGER AS pos, md5(line) AS line FROM l WHERE pos NOT IN (2, 3, 4, 5, 8, 9)""",
 )
 def x16(spark, sf_dir):
-    parts = F.array(*[F.lit(x) for x in ("# T", "a", "## References", "r", "### Sub", "s", "## Methods")], F.regexp_replace(F.substring("text", 1, 40), "^#+ ", ""), F.lit("# Funding"), F.lit("f"))
+    parts = F.array(*[F.lit(x) for x in ("# T", "a", "## References", "r", "### Sub", "s", "## Methods")], F.col("text"), F.lit("# Funding"), F.lit("f"))
     lines = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(parts).alias("pos", "line"))
     return pages.without_back_matter(lines).select("doc", "pos", md5(F.col("line")).alias("line"))
 
