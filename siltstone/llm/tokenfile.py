@@ -42,6 +42,9 @@ from .textkit import slices, text_buffers
 MAGIC = b"SLTDAC01"
 SEGMENT = 1 << 20
 _BLOCK = 512
+#: Text encoded at once, and what a worker's table of chunks may take: more than elsewhere, as a chunk is dear to encode.
+SLICE_BYTES = 4 << 20
+TABLE_BYTES = 224 << 20
 
 
 def _padded(raw: bytes) -> bytes:
@@ -194,7 +197,7 @@ class Encoder:
         added = self.library.get_added_tokens_decoder()
         for token, i in vocabulary.items():  # a byte is a character in this alphabet
             self._bytes[i] = len(token.encode()) if i in added else len(token)
-        self.table = ChunkTable(self._segment)
+        self.table = ChunkTable(self._segment, TABLE_BYTES)
 
     def _call(self, texts: list[bytes]) -> list[np.ndarray]:
         got = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -264,7 +267,7 @@ def encoder(path: str) -> Encoder:
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: str) -> Iterator[pa.RecordBatch]:
     own, writer, uri = encoder(path), None, ""
     part = TaskContext.get().partitionId()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         if writer is None:
             uri = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.dac"
             writer = Writer(uri)
