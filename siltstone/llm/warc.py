@@ -1,7 +1,7 @@
 """WARC archives with an index written first-class: reads are byte ranges of what the index selects.
 
-Archives hold one gzip member a record (WARC/1.1), so that offset and length of a record in the
-index are all it takes to read it. Of the pages whose payloads are equal and at least ``REVISIT``
+Archives hold one gzip member a record (WARC/1.1), a warcinfo record first, so that offset and length
+of a record in the index are all it takes to read it. Of the pages whose payloads are equal and at least ``REVISIT``
 bytes long, that with the smallest id is a response; the others are revisit records that name it.
 
 Writing: payload digests are grouped as narrow rows, what they decide is joined to the pages by
@@ -59,13 +59,38 @@ def decisions(pages: DataFrame) -> DataFrame:
     return out.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "refers_to").distinct()
 
 
+def _record_id(page_id, digest: str) -> str:
+    """A page's record id: by its id and payload, so that a revisit names it without a look-up."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
+def _info(uri: str) -> bytes:
+    """The warcinfo record of an archive."""
+    block = b"software: siltstone\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, uri)}>",
+        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Filename: {uri.rpartition('/')[2]}",
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _member(record: bytes) -> bytes:
+    press = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return press.compress(record) + press.flush()
+
+
 def _record(page_id, url: str, kind: str, refers_to, payload: bytes, digest: str) -> bytes:
     block = _HTTP + payload if kind == "response" else b""
     url = " ".join((url or "").split())
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -76,6 +101,7 @@ def _record(page_id, url: str, kind: str, refers_to, payload: bytes, digest: str
         head.append(f"WARC-Page-ID: {page_id}")
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: {_record_id(refers_to, digest)}")
         head.append(f"WARC-Refers-To-Page-ID: {refers_to}")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -89,12 +115,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             if out is None or at >= ARCHIVE:
                 if out is not None:
                     out.close()
-                uri, at = f"{folder}/pages-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0
+                uri = f"{folder}/pages-{part:06d}-{uuid.uuid4().hex}.warc.gz"
                 out = create(uri)
+                raw = _member(_info(uri))
+                out.write(raw)
+                at = len(raw)
             payload = (html or "").encode()
             kind = "response" if refers_to is None else "revisit"
-            press = zlib.compressobj(1, zlib.DEFLATED, 31)
-            raw = press.compress(_record(page_id, url, kind, refers_to, payload, digest)) + press.flush()
+            raw = _member(_record(page_id, url, kind, refers_to, payload, digest))
             out.write(raw)
             rows.append((page_id, url, kind, refers_to, digest, len(payload), uri, at, len(raw)))
             at += len(raw)
@@ -136,11 +164,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
+def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(made if payloads else made[:-1], names if payloads else names[:-1])
+
+
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
-    uri, file = None, None
+    uri, file, rows, held = None, None, [], 0
     for batch in batches:
         archives, offsets, lengths = (batch.column(c).to_pylist() for c in ("archive", "offset", "length"))
-        rows = []
         bounds = [0, *[i for i in range(1, len(archives)) if archives[i] != archives[i - 1]], len(archives)]
         for a, b in zip(bounds, bounds[1:], strict=False):
             if a == b:
@@ -158,11 +192,13 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
                         raise ValueError(f"{uri} at {offsets[k]}: payload and digest differ")
                     page, refers = fields.get("warc-page-id"), fields.get("warc-refers-to-page-id")
                     rows.append((page and int(page), fields["warc-target-uri"], kind, refers and int(refers), digest, n, payload if payloads else None))
+                    held += len(payload or b"") if payloads else 0
+                    if held >= RANGE:  # payloads don't wait for the batch to end
+                        yield _batch(rows, payloads)
+                        rows, held = [], 0
         if rows:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-            names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
-            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(made if payloads else made[:-1], names if payloads else names[:-1])
+            yield _batch(rows, payloads)
+            rows, held = [], 0
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
