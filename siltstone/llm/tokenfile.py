@@ -44,6 +44,9 @@ SEGMENT = 1 << 20
 _BLOCK = 512
 #: Text encoded at once, and what a worker's table of chunks may take: more than elsewhere, as a chunk is dear to encode.
 SLICE_BYTES = 4 << 20
+#: Ids that one read spans at most (or one document), and those between two documents that it may pass over.
+READ_IDS = 1 << 18
+GAP_IDS = 1 << 12
 TABLE_BYTES = 224 << 20
 
 
@@ -304,17 +307,29 @@ def starts(index: DataFrame) -> DataFrame:
     return index.join(files, F.col("file") == F.col("of_file")).select(*index.columns, (F.col("ahead") + F.col("at")).alias("start"))
 
 
+def _runs(files: list[str], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of sorted documents whose ids are read at once."""
+    i = 0
+    for j in range(1, len(files) + 1):
+        if j == len(files) or files[j] != files[i] or starts[j] - ends[j - 1] > GAP_IDS or ends[j] - starts[i] > READ_IDS:
+            yield i, j
+            i = j
+
+
 def _read(batches: Iterator[pa.RecordBatch], want: str) -> Iterator[pa.RecordBatch]:
     uri, reader = None, None
+    kind = pa.int64() if want == "ids_crc32" else pa.list_(pa.int64())
     for batch in batches:
-        got = []
-        for file, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n_tokens")), strict=True):
-            if file != uri:
-                uri, reader = file, Reader(file)
-            ids = reader.tokens(at, n)
-            got.append(zlib.crc32(ids.astype("<u4").tobytes()) if want == "ids_crc32" else ids.astype(np.int64))
-        made = pa.array(got, pa.int64() if want == "ids_crc32" else pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, want])
+        files, at = batch.column("file").to_pylist(), batch.column("at").to_numpy()
+        ends = at + batch.column("n_tokens").to_numpy()
+        for i, j in _runs(files, at, ends):
+            if files[i] != uri:
+                uri, reader = files[i], Reader(files[i])
+            ids = reader.tokens(int(at[i]), int(ends[j - 1] - at[i]))
+            own = [ids[a:b] for a, b in zip(at[i:j] - at[i], ends[i:j] - at[i], strict=True)]
+            made = [zlib.crc32(x.astype("<u4").tobytes()) if want == "ids_crc32" else x.astype(np.int64) for x in own]
+            rows = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, kind)], [*batch.schema.names, want])
 
 
 def _from_files(index: DataFrame, want: str, kind: str) -> DataFrame:

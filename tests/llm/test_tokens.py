@@ -112,11 +112,43 @@ def test_warc(spark, tmp_path):
     index = warc.write_archives(d, f"file://{tmp_path}/warc")
     some = warc.read_records(index.filter("page_id in (1, 7, 10)")).collect()
     assert {r["page_id"]: r["payload"] and bytes(r["payload"]).decode() for r in some} == {1: "small", 7: None, 10: "y" * 300_000}
+    named, referred = set(), set()
     for f in (tmp_path / "warc").iterdir():  # any reader of gzip members reads them
-        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
+        records = gzip.decompress(f.read_bytes()).split(b"WARC/1.1\r\n")[1:]
+        assert records[0].startswith(b"WARC-Type: warcinfo\r\n")
+        for head in (r.partition(b"\r\n\r\n")[0].decode().split("\r\n") for r in records):
+            fields = dict(line.split(": ", 1) for line in head if ": " in line)
+            named.add(fields["WARC-Record-ID"])
+            referred |= {fields["WARC-Refers-To"]} if fields["WARC-Type"] == "revisit" else set()
+    assert referred and referred <= named
     assert warc.digest(d.limit(0)).count() == 0
 
 
+def test_ids_are_read_in_runs(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "a b c d e f g h") for i in range(20)], "doc_id long, text string")
+    index = tokenfile.write_tokens(d.coalesce(1), BYTES)
+    whole = {r["id"]: r["ids"] for r in tokenfile.read_tokens(index).collect()}
+    rows = index.toPandas().sort_values(["file", "at"])
+    monkeypatch.setattr(tokenfile, "READ_IDS", 2 * int(rows["n_tokens"].iloc[0]))
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    got = [b.to_pydict() for b in tokenfile._read(iter([batch]), "ids")]
+    assert [len(b["id"]) for b in got] == [2] * 10
+    assert {i: x for b in got for i, x in zip(b["id"], b["ids"])} == whole
+    starts = np.array([0, 5, 5_000, 20_000, 0])
+    monkeypatch.setattr(tokenfile, "READ_IDS", 6_000)
+    assert list(tokenfile._runs([*"aaaab"], starts, starts + 5)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_payloads_are_handed_on_by_bytes(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(i, "u", chr(97 + i) * 5000) for i in range(20)], "page_id long, url string, html string")
+    index = warc.write_archives(d.coalesce(1), f"file://{tmp_path}/warc").toPandas().sort_values(["archive", "offset"])
+    monkeypatch.setattr(warc, "RANGE", 12_000)
+    batch = pa.RecordBatch.from_pandas(index[["archive", "offset", "length"]], preserve_index=False)
+    got = [b.to_pydict() for b in warc._read(iter([batch]), True)]
+    assert [len(b["payload"]) for b in got] == [3] * 6 + [2]
+    assert {i: p for b in got for i, p in zip(b["page_id"], b["payload"])} == {i: (chr(97 + i) * 5000).encode() for i in range(20)}
+
+
 def test_ranges_are_coalesced():
     offsets, lengths = np.array([0, 10, 20, 200_000, 200_010]), np.array([10, 10, 10, 10, 10])
     assert list(warc._ranges(offsets, lengths)) == [(0, 3), (3, 5)]
