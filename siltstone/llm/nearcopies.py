@@ -1,13 +1,13 @@
-"""Near copies by runs of words: MinHash candidates, each checked on the whole sets.
+"""Near copies by runs of words: SimHash candidates by pigeonring, each checked on the whole sets.
 
 Two texts link if the sets of their runs of five words (lower case in ASCII) have a Jaccard
-similarity of 0.8 or more. ``BANDS`` band keys of ``ROWS`` MinHash values each propose pairs: a pair
-of similarity s is missed with probability (1 - s^ROWS)^BANDS, which is 3 in a million at 0.8 and
-less above. What is proposed is checked on the full sets of 64-bit hashes, so no link is estimated.
+similarity of 0.8 or more. Fingerprints of the sets propose groups along chains of their ring
+(rings.py, which says how rarely a pair is missed). What is proposed is checked on the full sets of
+64-bit hashes, so no link is estimated.
 
-Texts with equal sets are one row from the start (a class, with its smallest id). Of every band
-bucket each member is checked against the first, which settles groups around one text in as many
-pairs as they have members. Where a bucket still holds more than one component, its members meet in
+Texts with equal sets are one row from the start (a class, with its smallest id). Of every proposed
+group each member is checked against the first, which settles groups around one text in as many
+pairs as they have members. Where a group still holds more than one component, its members meet in
 tiles: two blocks of bounded size, whose sets one task holds and compares, so that no proposed pair
 is left out and none becomes a row. Pairs within a component would change nothing; blocks of one and
 the same component do not meet.
@@ -28,22 +28,21 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import staged
+from . import rings
 from .forest import spanning
 from .frames import arrow_map, text_key
 from .textkit import Words, lower_ascii, mix, slices, text_buffers, xxh64
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 32
-ROWS = 5
 
 #: Members and hashes of a block of an open group at most (about), and distinct hashes compared at once.
 BLOCK_ROWS = 256
 BLOCK_HASHES = 1 << 18
 COLUMNS = 4096
 
-#: Odd multipliers, one for each MinHash value.
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Sets apart the second of the two sums by which equal sets are known.
+_APART = np.uint64(0x9E6C63D0876A9A47)
 
 #: Log of the bits of the filter that keeps texts without a partner from being dealt out; what it lets through in error is only work.
 FILTER_BITS = 24
@@ -75,25 +74,18 @@ def _sets(batches: Iterator[pa.RecordBatch], whole: bool, shingle: int, seed: in
         some = np.flatnonzero(size)
         heads = bounds[some]
         set_a, set_b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        keys = np.zeros((len(some), BANDS), np.uint64)
         if len(some):
             with np.errstate(over="ignore"):
                 set_a[some] = np.add.reduceat(mix(hashes), heads)
-                set_b[some] = np.bitwise_xor.reduceat(mix(hashes + _FACTORS[0]), heads)
-                for band in range(BANDS):
-                    key = np.full(len(some), band + 1, np.uint64)
-                    for a in _FACTORS[band * ROWS : (band + 1) * ROWS]:
-                        least = np.minimum.reduceat((hashes * a) >> np.uint64(16), heads)
-                        key = mix((key + least) * _FACTORS[1])
-                    keys[:, band] = key
-        key_bounds = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
+                set_b[some] = np.bitwise_xor.reduceat(mix(hashes + _APART), heads)
+        prints = _lists(rings.fingerprints(hashes, size).ravel(), np.arange(len(n) + 1) * rings.WORDS)
         columns = [batch.column("id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64))]
-        yield pa.RecordBatch.from_arrays([*columns, _lists(keys.ravel(), key_bounds)], ["id", "key", "n", "set_a", "set_b", "keys"])
+        yield pa.RecordBatch.from_arrays([*columns, prints], ["id", "key", "n", "set_a", "set_b", "prints"])
 
 
 def shingle_sets(df: DataFrame, whole: bool = False, shingle: int = SHINGLE, seed: int = 42) -> DataFrame:
-    """Of (id, key, text): (id, key, n, set_a, set_b, keys), the size of a row's set, what tells it from others and its band keys; or whole, (id, hashes)."""
-    return arrow_map(df, _sets, "id long, hashes array<long>" if whole else "id long, key long, n long, set_a long, set_b long, keys array<long>", whole, shingle, seed)
+    """Of (id, key, text): (id, key, n, set_a, set_b, prints), the size of a row's set, what tells it from others and its fingerprint; or whole, (id, hashes)."""
+    return arrow_map(df, _sets, "id long, hashes array<long>" if whole else "id long, key long, n long, set_a long, set_b long, prints array<long>", whole, shingle, seed)
 
 
 def _only(df: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -205,10 +197,8 @@ def _across(open_: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(df: DataFrame, classes: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(src, dst) between the smallest ids ``rep`` of classes (rep, n, keys) of df(id, text); their components are those of all proposed links."""
-    dealt = classes.filter("rep is not null").select("rep", "n", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
-    members = staged(dealt.join(shared.drop("last"), "key"), "members")
+    """(src, dst) between the smallest ids ``rep`` of classes (rep, n, prints) of df(id, text); their components are those of all proposed links."""
+    members = staged(rings.groups(classes, threshold), "members")
     pairs = members.filter("rep <> first").select(F.col("first").alias("src"), F.col("rep").alias("dst")).distinct()
     nodes = staged(members.select(F.col("rep").alias("node")).distinct(), "nodes")
     whole = shingle_sets(_only(df, nodes), True, shingle).join(nodes, F.col("id") == F.col("node"), "left_semi")
@@ -226,8 +216,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text = F.col(f"`{text_col}`").cast("string")
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
     sets = staged(shingle_sets(source, False, shingle), "sets")
-    own = F.struct("n", "keys")
-    classes = staged(sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first(own).alias("x")).select("set_a", "set_b", "rep", "x.n", "x.keys"), "classes")
+    own = F.struct("n", "prints")
+    classes = staged(sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first(own).alias("x")).select("set_a", "set_b", "rep", "x.n", "x.prints"), "classes")
     parts = connected_components(links(source, classes, shingle, threshold))
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     return sets.select("id", "key", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("id", "key", "component_id")

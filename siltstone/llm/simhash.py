@@ -262,7 +262,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Groups are those of fingerprints, or with ``similarity`` those of texts whose sets of runs of
     ``shingle`` words overlap by so much: 64 bits do not tell such pairs from others (at 0.8 they
-    lie 3 to 14 bits apart), so nearcopies.py proposes them and checks the whole sets.
+    lie 3 to 14 bits apart), so rings.py proposes them by pigeonring over wider fingerprints and
+    nearcopies.py checks the whole sets.
     """
     if similarity is not None:
         rows = nearcopies.components(df, id_col, text_col, shingle, similarity)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from siltstone.llm import epsilonjoin, nearcopies, simhash, substring, textkit
+from siltstone.llm import epsilonjoin, nearcopies, rings, simhash, substring, textkit
 from siltstone.operators.graph import connected_components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -289,3 +289,60 @@ def test_stage_finds_edited_copies(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(set(want.values()))
         assert sum(r["doc_id"] is None for r in got) == 2
     assert corpus_pipeline.near_dedup(spark, d.limit(0), "").count() == 0
+
+
+def test_ring_fingerprints_are_simhashes_of_sets():
+    """The first word is the SimHash of the set of runs, whatever its size; further words differ from it."""
+    texts = [prose(400), None, "one", prose(9), "", prose(3000), prose(259), prose(260)]
+    got = rings.fingerprints(
+        np.array([v for t in texts for v in sorted(xxhash.xxh64(g.encode(), seed=42).intdigest() for g in run_sets(t))], np.uint64),
+        np.array([len(run_sets(t)) for t in texts]),
+    )
+    for t, row in zip(texts, got, strict=True):
+        h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in run_sets(t)]
+        assert int(row[0]) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+        assert len(set(row.tolist())) == (rings.WORDS if h else 1)
+
+
+@pytest.mark.parametrize(("rows", "bucket"), [(1 << 23, 1 << 14), (1 << 23, 3), (60, 1 << 14), (1, 1 << 14)])
+def test_ring_proposes_every_near_copy(spark, monkeypatch, rows, bucket):
+    """Pairs at 0.8 or just above, of four runs and more, lie in a group; keys of 12 to 17 bits, buckets held or handed on whole."""
+    monkeypatch.setattr(rings, "ROWS", rows)
+    monkeypatch.setattr(rings, "BUCKET", bucket)
+    rng, sets, pairs = np.random.default_rng(5), [], []
+    for k in range(400):
+        size = 5 if k % 4 == 0 else int(rng.integers(5, 600))
+        union = rng.integers(0, 1 << 64, size, np.uint64)
+        gone = size // 5
+        cut = int(rng.integers(0, gone + 1))
+        pairs.append((2 * k, 2 * k + 1))
+        sets += [union[cut:], np.concatenate([union[:cut], union[gone:]])]
+    size = np.array([len(s) for s in sets])
+    prints = rings.fingerprints(np.concatenate(sets), size).view(np.int64)
+    classes = spark.createDataFrame([(i, int(n), p.tolist()) for i, (n, p) in enumerate(zip(size, prints, strict=True))], "rep long, n long, prints array<long>")
+    by: dict = {}
+    for r in rings.groups(classes).collect():
+        by.setdefault(r["key"], []).append(r)
+    proposed = set()
+    for group in by.values():
+        reps = sorted(r["rep"] for r in group)
+        assert len(set(reps)) == len(reps) and {r["first"] for r in group} == {reps[0]} and all(r["n"] == size[r["rep"]] for r in group)
+        proposed |= {(a, b) for a in reps for b in reps if a < b}
+    assert all(p in proposed for p in pairs)
+    if bucket > 3:
+        assert len(proposed) < 1.5 * len(pairs)
+
+
+def test_stage_takes_its_candidates_from_the_ring(spark, monkeypatch):
+    """The stage's near copies come through fingerprints and chains, by no path beside them."""
+    import corpus_pipeline
+
+    base = prose(200)
+    d = spark.createDataFrame([(1, base), (2, base.upper()), (3, base + " end"), (4, prose(200))], "doc_id long, text string")
+    left = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, "").collect())
+    assert left() == [1, 4]
+    found = rings.groups
+    monkeypatch.setattr(rings, "groups", lambda *a: found(*a).filter("false"))
+    assert left() == [1, 3, 4]
+    with pytest.raises(ValueError, match="0.8"):
+        simhash.drop_near_duplicates(d, shingle=5, similarity=0.5)
