@@ -5,12 +5,12 @@ similarity of 0.8 or more. Fingerprints of the sets propose groups along chains
 (rings.py, which says how rarely a pair is missed). What is proposed is checked on the full sets of
 64-bit hashes, so no link is estimated.
 
-Texts with equal sets are one row from the start (a class, with its smallest id). Of every proposed
-group each member is checked against the first, which settles groups around one text in as many
-pairs as they have members. Where a group still holds more than one component, its members meet in
-tiles: two blocks of bounded size, whose sets one task holds and compares, so that no proposed pair
-is left out and none becomes a row. Pairs within a component would change nothing; blocks of one and
-the same component do not meet.
+Texts with equal sets are one row from the start (a class, with its smallest id). Each member of
+proposed groups is checked against one of their first members, that which it shares most groups with,
+in as many pairs as there are members. Where a group still holds more than one component, its members
+meet in tiles: two blocks of bounded size, whose sets one task holds and compares, so that no proposed
+pair is left out and none becomes a row. Pairs within a component would change nothing: a block of a
+large component is one row of each group it is in, and blocks of one and the same do not meet.
 
 Nulls and texts without words have the empty set and are copies of each other; a text of fewer than
 five words is one run. Rows with a null id get the component of their class. Rows of one id count as
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -104,35 +104,58 @@ def _similar(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").filter(both / (F.size("a") + F.size("b") - both) >= threshold).select("src", "dst")
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """(src, dst): each member of groups (key, rep, first) with one first, that which it shares most groups with."""
+    met = members.filter("rep <> first").groupBy("rep", "first").agg(F.count("*").alias("groups"))
+    most = F.max_by("first", F.struct("groups", F.bitwise_not("first")))  # of several the smallest
+    return met.groupBy("rep").agg(most.alias("src")).select("src", F.col("rep").alias("dst"))
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_HASHES))
+
+
+def _at(what: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(what), F.col(n))
+
+
+def _owned(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rep, n, component, block): every member once; one of a large component with a block of its own there, others without."""
+    own = members.select("rep", "n").distinct().groupBy("rep").agg(F.sum("n").alias("n"))
+    own = own.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("component"))
+    large = own.groupBy("component").agg(F.count("*").alias("rows"), _blocks().alias("blocks")).filter(F.col("rows") * 2 >= BLOCK_ROWS).drop("rows")
+    block = F.when(F.col("blocks").isNotNull(), F.xxhash64(F.lit("pure"), "component", _at("rep", "blocks")))
+    return staged(own.join(large, "component", "left").select("rep", "n", "component", block.alias("block")), "own")
+
+
+def _open(members: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, component, block, rep, n, low, size): what lies in groups of more than one component, a block of a large component as one row without a rep."""
+    alone = F.when(F.col("block").isNull(), F.col("rep")).alias("rep")
+    units = members.select("key", "rep").join(own, "rep").groupBy("key", "component", "block", alone).agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    units = staged(units, "units")
+    groups = units.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("rows").alias("size"))
+    return staged(units.drop("rows").join(groups.filter("low < high").drop("high"), "key"), "open")
+
+
 def _placed(open_: DataFrame) -> DataFrame:
-    """(rep, component, block, pure): the members of open buckets in blocks of at most about BLOCK_ROWS rows and BLOCK_HASHES hashes.
+    """(rep, component, block): the members of open buckets outside large components, in blocks of at most about BLOCK_ROWS rows and BLOCK_HASHES hashes.
 
-    Members that are joined by open buckets form a cluster. A small cluster is a block. Of a large
-    one each large component has blocks of its own (pure: its members need not meet each other),
-    the others lie with those of the largest bucket that they are in.
+    Components that are joined by open buckets form a cluster. What a small cluster has of such
+    members is a block; those of a large one lie with others of the largest bucket that they are in.
     """
-    first = open_.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("size"))
-    keyed = open_.join(first, "key")
-    clusters = connected_components(keyed.select(F.col("rep").alias("src"), F.col("low").alias("dst"))).withColumnRenamed("component", "cluster")
-    own = keyed.groupBy("rep", "component", "n").agg(F.max_by("key", F.struct("size", "key")).alias("primary"))
-    own = staged(own.join(clusters, F.col("rep") == F.col("node")).drop("node"), "own")
-
-    def blocks(*by: str) -> DataFrame:
-        n = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_HASHES))
-        return own.groupBy(*by).agg(F.count("*").alias("_".join([*by, "rows"])), n.alias("_".join([*by, "blocks"])))
-
-    for by in (["cluster"], ["cluster", "component"], ["cluster", "primary"]):
-        own = own.join(blocks(*by), by)
-    at = lambda what, n: F.pmod(F.xxhash64(what), F.col(n))
-    pure = F.col("cluster_component_rows") * 2 >= BLOCK_ROWS
+    joined = open_.filter("component > low").select(F.col("component").alias("src"), F.col("low").alias("dst")).distinct()
+    clusters = connected_components(joined).withColumnRenamed("component", "cluster")
+    loose = open_.filter("block is null").groupBy("rep", "component", "n").agg(F.max_by("key", F.struct("size", "key")).alias("primary"))
+    loose = staged(loose.join(clusters, F.col("component") == F.col("node")).drop("node"), "loose")
+    for by in (["cluster"], ["cluster", "primary"]):
+        name = "_".join(by)
+        loose = loose.join(loose.groupBy(*by).agg(F.count("*").alias(f"{name}_rows"), _blocks().alias(f"{name}_blocks")), by)
     block = (
         F.when(F.col("cluster_blocks") == 1, F.xxhash64(F.lit("small"), "cluster"))
-        .when(pure, F.xxhash64(F.lit("pure"), "component", at("rep", "cluster_component_blocks")))
-        .when(F.col("cluster_primary_rows") * 2 >= BLOCK_ROWS, F.xxhash64(F.lit("bucket"), "cluster", "primary", at("rep", "cluster_primary_blocks")))
-        .otherwise(F.xxhash64(F.lit("rest"), "cluster", at("primary", "cluster_blocks")))
+        .when(F.col("cluster_primary_rows") * 2 >= BLOCK_ROWS, F.xxhash64(F.lit("bucket"), "cluster", "primary", _at("rep", "cluster_primary_blocks")))
+        .otherwise(F.xxhash64(F.lit("rest"), "cluster", _at("primary", "cluster_blocks")))
     )
-    alone = F.when((F.col("cluster_blocks") > 1) & pure, F.col("component"))
-    return staged(own.select("rep", "component", block.alias("block"), alone.alias("pure")), "placed")
+    return staged(loose.select("rep", "component", block.alias("block")), "placed")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -178,18 +201,27 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield settled()
 
 
-def _across(open_: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst) that join the components that meet in open buckets (key, rep, n, component), as a forest for each pair of blocks.
+def _tiles(sides: DataFrame) -> DataFrame:
+    """(a, b): the blocks that some bucket of the distinct (key, block, pure) brings together; buckets of the same blocks are one."""
+    sums = F.count("*").alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64("block", F.lit(1))).alias("y")
+    one = sides.groupBy("key").agg(*sums).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    few = staged(sides.join(one, "key", "left_semi"), "few")
+    a = few.select("key", F.col("block").alias("a"), F.col("pure").alias("a_pure"))
+    b = few.select("key", F.col("block").alias("b"), F.col("pure").alias("b_pure"))
+    apart = F.col("a_pure").isNull() | F.col("b_pure").isNull() | (F.col("a_pure") != F.col("b_pure"))
+    return staged(a.join(b, "key").filter((F.col("a") <= F.col("b")) & apart).select("a", "b").distinct(), "tiles")
+
+
+def _across(open_: DataFrame, own: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst) that join the components that meet in open buckets, as a forest for each pair of blocks.
 
     Blocks that some bucket brings together meet in one task, which holds the sets of both and no more.
     """
     placed = _placed(open_)
-    sides = open_.select("key", "rep").join(placed, "rep").select("key", "block", "pure").distinct()
-    a = sides.select("key", F.col("block").alias("a"), F.col("pure").alias("a_pure"))
-    b = sides.select("key", F.col("block").alias("b"), F.col("pure").alias("b_pure"))
-    apart = F.col("a_pure").isNull() | F.col("b_pure").isNull() | (F.col("a_pure") != F.col("b_pure"))
-    tiles = staged(a.join(b, "key").filter((F.col("a") <= F.col("b")) & apart).select("a", "b").distinct(), "tiles")
-    member = placed.select("block", "rep", "component")
+    pure = open_.filter("block is not null").select("key", "block", F.col("component").alias("pure"))
+    loose = open_.filter("block is null").select("key", "rep").join(placed, "rep").select("key", "block", F.lit(None).cast("long").alias("pure"))
+    tiles = _tiles(staged(pure.union(loose).distinct(), "sides"))
+    member = placed.select("block", "rep", "component").union(own.filter("block is not null").select("block", "rep", "component"))
     sent = tiles.join(member, F.col("a") == F.col("block")).withColumn("side", F.lit(0))
     sent = sent.union(tiles.filter("a < b").join(member, F.col("b") == F.col("block")).withColumn("side", F.lit(1)))
     sent = sent.join(whole, F.col("rep") == F.col("id")).select("a", "b", "side", "rep", "component", "hashes")
@@ -199,16 +231,12 @@ def _across(open_: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
 def links(df: DataFrame, classes: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(src, dst) between the smallest ids ``rep`` of classes (rep, n, prints) of df(id, text); their components are those of all proposed links."""
     members = staged(rings.groups(classes, threshold), "members")
-    pairs = members.filter("rep <> first").select(F.col("first").alias("src"), F.col("rep").alias("dst")).distinct()
     nodes = staged(members.select(F.col("rep").alias("node")).distinct(), "nodes")
     whole = shingle_sets(_only(df, nodes), True, shingle).join(nodes, F.col("id") == F.col("node"), "left_semi")
     whole = staged(whole.distinct(), "whole")
-    found = staged(_similar(pairs, whole, threshold), "links")
-    parts = staged(connected_components(found), "parts")
-    placed = members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = staged(placed.join(mixed, "key", "left_semi"), "open")
-    return found.union(staged(_across(open_, whole, threshold), "across"))
+    found = staged(_similar(_pairs(members), whole, threshold), "links")
+    own = _owned(members, staged(connected_components(found), "parts"))
+    return found.union(staged(_across(_open(members, own), own, whole, threshold), "across"))
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

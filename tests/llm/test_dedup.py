@@ -346,3 +346,50 @@ def test_stage_takes_its_candidates_from_the_ring(spark, monkeypatch):
     assert left() == [1, 3, 4]
     with pytest.raises(ValueError, match="0.8"):
         simhash.drop_near_duplicates(d, shingle=5, similarity=0.5)
+
+
+def test_stage_keeps_rows_few_in_a_large_group(spark, monkeypatch):
+    """One large group of near copies, some linked and some not: a member is paired once, and buckets of the same blocks meet once."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(160)]
+    rows = [(1000, " ".join(base))]
+    for j in range(360):
+        edited = list(base)
+        for at in rng.sample(range(160), j % 9):
+            edited[at] = f"edit{j}x{at}"
+        rows.append((j, " ".join(edited)))
+    sets = {i: run_sets(t) for i, t in rows}
+    want = components(sorted(sets), lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    assert 100 < len(set(want.values())) < 240  # the rest is one group
+
+    import corpus_pipeline
+
+    staged, similar, seen = nearcopies.staged, nearcopies._similar, {}
+
+    def counted(df, name="stage"):
+        out = staged(df, name)
+        seen[name] = out.count()
+        return out
+
+    def paired(pairs, *rest):
+        seen["pairs"] = pairs.count()
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "staged", counted)
+    monkeypatch.setattr(nearcopies, "_similar", paired)
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", 32)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == sorted(set(want.values()))
+    assert seen["pairs"] <= seen["nodes"]
+    assert seen["open"] < seen["members"] and seen["few"] < seen["sides"]
+
+
+def test_tiles_are_those_of_all_buckets(spark):
+    """Buckets of the same blocks are one; blocks of one large component do not meet."""
+    rng = random.Random(9)
+    pure = {b: (b % 3 if b < 9 else None) for b in range(16)}
+    held = {k: rng.sample(range(16), rng.randint(1, 3)) if k % 2 else [1, 2, 5, 9, 12] for k in range(80)}
+    sides = spark.createDataFrame([(k, b, pure[b]) for k, bs in held.items() for b in bs], "key long, block long, pure long")
+    want = {(a, b) for bs in held.values() for a in bs for b in bs if a <= b and (pure[a] is None or pure[a] != pure[b])}
+    got = [tuple(r) for r in nearcopies._tiles(sides).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
