@@ -57,3 +57,27 @@ def nearest_by(left: DataFrame, right: DataFrame, by: str, place: str) -> DataFr
     ahead = F.first("here", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
     closer = F.when(F.col("back").isNull() | (F.col("ahead") - F.col("at") < F.col("at") - F.col("back")), F.col("ahead")).otherwise(F.col("back"))
     return a.union(b).withColumns({"back": back, "ahead": ahead}).filter("row is not null").select("row.*", closer.alias("nearest"))
+
+
+#: Bits of an order's value that a block leaves out: how many values of it one window may hold.
+BLOCK_BITS = 13
+
+
+def band_pair_counts(df: DataFrame, by: str, order: str, value: str, width: int) -> DataFrame:
+    """(by, pairs): pairs of rows a, b of one ``by`` with a.order < b.order and b.value from a.value to a.value + width; whole numbers.
+
+    Counted, not made: a row counts as a in the band of its own value and as b in those up to ``width``
+    below; in a band the a's ahead of each b are a running sum, within blocks of the order and, from
+    sums a block, between them. Rows grow as the input times ``width`` + 2 and no window holds more than
+    a block's values or the blocks of a band. Groups without a pair are left out, nulls are in none.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v")).dropna()
+    alike = rows.groupBy("g", "o", "v").agg(F.count("*").alias("n"))
+    dealt = alike.select("g", "o", "n", "v", F.explode(F.sequence(F.col("v") - width, F.col("v"))).alias("band"), F.shiftright("o", BLOCK_BITS).alias("block"))
+    dealt = dealt.groupBy("g", "band", "block", "o").agg(F.sum(F.when(F.col("v") == F.col("band"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("b"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("ahead", F.coalesce(F.sum("a").over(before("g", "band", "block").orderBy("o")), F.lit(0)))
+    blocks = within.groupBy("g", "band", "block").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("ahead") * F.col("b")).alias("own"))
+    ahead = F.coalesce(F.sum("a").over(before("g", "band").orderBy("block")), F.lit(0))
+    pairs = blocks.withColumn("pairs", F.col("own") + ahead * F.col("b"))
+    return pairs.groupBy(F.col("g").alias(by)).agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")

@@ -43,8 +43,17 @@ _sql("j24_semi_exists", """
 SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority""")
 _sql("j24_anti_not_exists", """
 SELECT c_mktsegment, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) GROUP BY c_mktsegment""")
-_sql("j24_theta_band", """
-SELECT p.p_brand, count(*) AS pairs FROM part p JOIN part q ON p.p_brand = q.p_brand AND p.p_partkey < q.p_partkey AND q.p_size BETWEEN p.p_size AND p.p_size + 2 GROUP BY p.p_brand""")
+
+
+@register(
+    "j24_theta_band",
+    """
+SELECT p.p_brand, count(*) AS pairs FROM part p JOIN part q ON p.p_brand = q.p_brand AND p.p_partkey < q.p_partkey AND q.p_size BETWEEN p.p_size AND p.p_size + 2 GROUP BY p.p_brand""",
+)
+def j24_theta_band(spark, sf_dir):
+    return relational.band_pair_counts(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size", 2)
+
+
 _sql("j24_large_orders", """
 SELECT c_name, c_custkey, o_orderkey, o_totalprice, sum(l_quantity) AS qty FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) GROUP BY c_name, c_custkey, o_orderkey, o_totalprice""")

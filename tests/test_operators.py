@@ -509,3 +509,26 @@ def test_group_split_takes_the_prefix_that_can_enter(spark):
             if used < budget and c <= 0.25 * budget and used + c <= 1.1 * budget:
                 used, want = used + c, want | {r}
         assert {r for r in got if rows[r][0] == s} == want
+
+
+def test_band_pair_counts(spark):
+    """Against all pairs: groups, keys over many blocks, repeated and negative keys, nulls; a block's window is not all."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice([rng.randrange(-9, 9), rng.randrange(-60_000, 60_000)]), rng.randrange(7)) for _ in range(400)]
+    rows += [("c", 1, 1), ("c", 1, 1), ("d", 1, 5), ("d", 2, 8), (None, 1, 1), (None, 2, 1), ("a", None, 1), ("a", 3, None)]
+    pairs = {}
+    for g, k, v in rows:
+        for h, m, w in rows:
+            if None not in (g, k, v, m, w) and g == h and k < m and v <= w <= v + 2:
+                pairs[g] = pairs.get(g, 0) + 1
+    df = spark.createDataFrame(rows, "brand string, k long, size int")
+    got = {r["brand"]: r["pairs"] for r in relational.band_pair_counts(df, "brand", "k", "size", 2).collect()}
+    assert got == pairs
+
+
+def test_band_pairs_are_counted_not_made(spark, data):
+    """20,000 rows of one brand and size are 199,990,000 pairs; the plan has no join that would make them."""
+    df = spark.range(20_000).selectExpr("id AS k", "'x' AS brand", "3 AS size")
+    out = relational.band_pair_counts(df, "brand", "k", "size", 2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first()["pairs"] == 20_000 * 19_999 // 2
