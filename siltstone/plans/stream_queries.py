@@ -31,7 +31,7 @@ def st04(spark, sf_dir):
 
 @register("st05_first_n_state", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 3")
 def st05(spark, sf_dir):
-    return st.drained(st.first_n(_events(spark, sf_dir), "user_id", 3))
+    return st.drained(st.first_n(_events(spark, sf_dir), "user_id", 3), "update", st.last_of("user_id"))
 
 
 @register("st06_stream_dedup", "SELECT DISTINCT user_id FROM events")

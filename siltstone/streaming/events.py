@@ -14,11 +14,13 @@ from ..session import shared_folder
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """The event table as a stream of its files; ts as a timestamp, so that watermarks apply."""
+    """The event table, a file or a folder of files, as a stream of its files; ts as a timestamp, so that watermarks apply."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet")
-    return stream.parquet(folder if name.endswith(".parquet") else path).withColumn("ts", F.col("ts").cast("timestamp"))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", name if single else "*.parquet")
+    return stream.parquet(folder if single else path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -47,6 +49,17 @@ def latest_of(*keys: str) -> Callable[[DataFrame], DataFrame]:
     return pick
 
 
+def last_of(key: str) -> Callable[[DataFrame], DataFrame]:
+    """All rows of a key that the last batch which has it put out; keys may be null."""
+
+    def pick(out: DataFrame) -> DataFrame:
+        last = out.groupBy(key).agg(F.max("batch").alias("batch")).withColumnRenamed(key, "siltstone_key")
+        same = F.col(key).eqNullSafe(F.col("siltstone_key"))
+        return out.withColumnRenamed("batch", "siltstone_batch").join(last, same & (F.col("siltstone_batch") == F.col("batch")), "left_semi").drop("siltstone_batch")
+
+    return pick
+
+
 def deduplicated(events: DataFrame, *keys: str, late: str = "3 days") -> DataFrame:
     """The first copy of each key; state is kept as long as a late copy may come."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
@@ -71,19 +84,27 @@ def sessions(events: DataFrame, gap: str, late: str = "3 days") -> DataFrame:
 
 
 def first_n(events: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, event_id): the first n events of each key as they come, counted in state."""
+    """(key, event_id): the n smallest event ids of each key so far, held in state; null ids come last.
+
+    For update mode: a trigger that changes a key puts out all its rows again, since a later file may
+    hold smaller ids. last_of() leaves those of the last trigger.
+    """
     kind = events.schema[key].dataType.simpleString()
 
     def take(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
+        held, nulls = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        now, lost = held, nulls
         for pdf in batches:
-            own = pdf.sort_values("event_id").head(max(n - seen, 0))
-            seen += len(own)
-            if len(own):
-                yield pd.DataFrame({key: [k[0]] * len(own), "event_id": own["event_id"].to_numpy()})
-        state.update((seen,))
-
-    return events.groupBy(key).applyInPandasWithState(take, f"{key} {kind}, event_id long", "seen long", "append", GroupStateTimeout.NoTimeout)
+            now = sorted([*now, *map(int, pdf["event_id"][~pdf["missing"]].nsmallest(n))])[:n]
+            lost = min(n, lost + int(pdf["missing"].sum()))
+        state.update((now, lost))
+        if (now, lost) != (held, nulls):
+            rows = [*now, *[None] * min(lost, n - len(now))]
+            yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": pd.array(rows, dtype="Int64")})
+
+    # ids stay whole numbers: pandas would make them floats next to nulls
+    own = events.select(key, F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), F.col("event_id").isNull().alias("missing"))
+    return own.groupBy(key).applyInPandasWithState(take, f"{key} {kind}, event_id long", "held array<long>, nulls long", "update", GroupStateTimeout.NoTimeout)
 
 
 def priced(slots: DataFrame, prices: DataFrame) -> DataFrame:

@@ -540,3 +540,21 @@ def test_title_element(spark):
     assert at("<p>none</p>") == ""
     assert at(None) is None
     assert at("<title></title>") == ""
+
+
+def test_first_n_takes_the_smallest_ids_of_all_files(spark, tmp_path):
+    """A later file has smaller ids, a key has more rows than one Arrow batch, a key and some ids are null."""
+    from siltstone.streaming import events as st
+
+    first = [(7, 50_000 - k) for k in range(12_000)] + [(8, 5), (8, None), (None, 3)]
+    second = [(7, 9), (7, 2**53 + 1), (8, 1), (9, None), (9, 2**60 + 1), (None, 1), (None, 2), (None, 4)]
+    for k, rows in enumerate((first, second)):
+        part = spark.createDataFrame(rows, "user_id long, event_id long").withColumn("ts", F.to_timestamp(F.lit("2024-01-01")))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = st.read_events(spark, f"{tmp_path}/events.parquet")
+    got = st.drained(st.first_n(stream, "user_id", 3), "update", st.last_of("user_id")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["user_id"], []).append(r["event_id"])
+    order = lambda xs: sorted(xs, key=lambda x: (x is None, x))
+    assert {k: order(v) for k, v in by.items()} == {7: [9, 38_001, 38_002], 8: [1, 5, None], 9: [2**60 + 1, None], None: [1, 2, 3]}
