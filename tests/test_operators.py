@@ -558,3 +558,47 @@ def test_first_n_takes_the_smallest_ids_of_all_files(spark, tmp_path):
         by.setdefault(r["user_id"], []).append(r["event_id"])
     order = lambda xs: sorted(xs, key=lambda x: (x is None, x))
     assert {k: order(v) for k, v in by.items()} == {7: [9, 38_001, 38_002], 8: [1, 5, None], 9: [2**60 + 1, None], None: [1, 2, 3]}
+
+
+ODD_TEXTS = [
+    "", None, " \n\t ", "one", "One two THREE four", "a b c d e", "a b c d e f a b c d e", "a_b-c\x1fd é ÄÖ 日本 x" * 3, "!?", "x" * 70_000 + " y z " + "w" * 300,
+    "word " * 400, "\x85  a　b", "İstanbul ǅ ﬁ ½ ٣ \U0001f600 a", "the cat sat on the mat and the dog sat on the log with the cat " * 30,
+]
+
+
+def odd_texts(spark):
+    rng = random.Random(7)
+    rows = [*ODD_TEXTS, *(" ".join(rng.choice(["a", "bb", "the", "ünï", "x9"]) for _ in range(rng.randrange(60))) for _ in range(80))]
+    return spark.createDataFrame(list(enumerate(rows)), "id long, text string").coalesce(1)
+
+
+def test_md5_of_many_messages():
+    import hashlib
+
+    import numpy as np
+
+    from siltstone.functions import runs
+
+    sizes = np.array([0, 1, 3, 52, 55, 56, 63, 64, 119, 120, 183, 184, 247, 248, 900] * 300)
+    data = np.frombuffer(random.Random(1).randbytes(int(sizes.sum())), np.uint8)
+    ends = np.cumsum(sizes)
+    for prefix in (b"", b"wm\x1f"):
+        got = ["".join(f"{x:08x}" for x in row) for row in runs.md5(data, ends - sizes, ends, prefix)]
+        assert got == [hashlib.md5(prefix + data[e - n : e].tobytes()).hexdigest() for n, e in zip(sizes, ends, strict=True)]
+
+
+def test_signatures_inside_the_row(spark, monkeypatch):
+    """Those that the hashes of shingle_hashes() give, for odd texts too and whatever the slices; no hash becomes a row."""
+    d = odd_texts(spark)
+    out = dedup.signatures(d, "id", "text")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    expected = {}
+    for r in dedup.shingle_hashes(d, "id", "text").collect():
+        held = {}
+        for h in r["hashes"]:
+            if h is not None:
+                held[h >> 45] = min(held.get(h >> 45, 1 << 32), h & 0xFFFFFFFF)
+        far = lambda b, held=held: next((k for k in range(128) if (b + k) % 128 in held), None)
+        expected[r["id"]] = [(held[(b + far(b)) % 128] + far(b) * 0x9E3779B1) & 0xFFFFFFFF if held else None for b in range(128)]
+    assert {r["id"]: r["signature"] for r in out.collect()} == expected
