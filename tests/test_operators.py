@@ -602,3 +602,14 @@ def test_signatures_inside_the_row(spark, monkeypatch):
         far = lambda b, held=held: next((k for k in range(128) if (b + k) % 128 in held), None)
         expected[r["id"]] = [(held[(b + far(b)) % 128] + far(b) * 0x9E3779B1) & 0xFFFFFFFF if held else None for b in range(128)]
     assert {r["id"]: r["signature"] for r in out.collect()} == expected
+
+
+def test_bands_meet_where_values_are_equal(spark):
+    """Candidates are found by equal bands alone: a band's values in another band's place do not meet; nulls meet and are not alike."""
+    a = list(range(128))
+    moved = a[8:16] + [500 + k for k in range(120)]
+    rows = [(1, a), (2, a[:120] + [900] * 8), (3, moved), (5000, a), (6, [None] * 128), (7, [None] * 128)]
+    signed = spark.createDataFrame(rows, "id long, signature array<long>")
+    assert {(r["src"], r["dst"]) for r in dedup.band_pairs(signed).collect()} == {(1, 2), (1, 5000), (2, 5000)}
+    plan = dedup.band_pairs(signed)._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan
