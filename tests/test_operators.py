@@ -613,3 +613,18 @@ def test_bands_meet_where_values_are_equal(spark):
     assert {(r["src"], r["dst"]) for r in dedup.band_pairs(signed).collect()} == {(1, 2), (1, 5000), (2, 5000)}
     plan = dedup.band_pairs(signed)._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan
+
+
+def test_ngram_hashes_inside_the_row(spark):
+    import hashlib
+    import re
+
+    d = odd_texts(spark)
+    out = split.ngram_hashes(d, "id", "text", 3, 2)
+    assert "md5" not in out._jdf.queryExecution().executedPlan().toString()
+    expected = set()
+    for r in d.select("id", F.lower("text").alias("t")).filter("t is not null").collect():
+        w = re.findall(r"[A-Za-z0-9_\x80-\U0010ffff]+", r["t"])
+        found = {int(hashlib.md5(" ".join(w[k : k + 3]).encode()).hexdigest()[:13], 16) for k in range(len(w) - 2)}
+        expected |= {(r["id"], h) for h in found if h % 2 == 0}
+    assert sorted((r["id"], r["h"]) for r in out.collect()) == sorted(expected)
