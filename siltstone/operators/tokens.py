@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..session import staged
@@ -104,6 +106,23 @@ def pair_counts(df: DataFrame, text_col: str) -> DataFrame:
     return split.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
+def word_runs(df: DataFrame, text_col: str, n: int, between: str = " ", prefix: str = "") -> DataFrame:
+    """``df`` less its text, with runs, distinct and low of the texts that have a run of n lower-cased words.
+
+    How many runs there are, how many differ, and for how many of these unit(prefix and words, joined by
+    ``between``) is below a half. No run leaves its row: nothing is shuffled.
+    """
+    from ..functions import runs, text as tx
+
+    @F.arrow_udf(StructType([StructField(c, LongType()) for c in ("runs", "distinct", "low")]))
+    def counted(text: pa.Array) -> pa.Array:
+        return runs.run_counts(text, n, ord(between), prefix.encode())
+
+    spaced = F.concat(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+", " "), F.lit("\n"))
+    kept = [c for c in df.columns if c != text_col]
+    return tx.computed(df, "siltstone_runs", counted(spaced)).select(*kept, "siltstone_runs.*").filter("runs > 0")
+
+
 def length_batches(df: DataFrame, id_col: str, size_col: str, batch: int, mega: int = 50) -> DataFrame:
     """(id, mega, batch): rows fall by hash into mega-batches of about ``mega`` * ``batch`` rows, and by size into batches inside."""
     n = df.count()

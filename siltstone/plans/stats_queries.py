@@ -129,11 +129,10 @@ def j16(spark, sf_dir):
     g AS (SELECT doc_id, {unit_sql(chr(39) + 'wm' + chr(39), 'prev', 'tok')} < 0.5 AS green FROM p WHERE prev IS NOT NULL) SELECT doc_id, count(*) FILTER (WHERE green)::BIGINT AS green, count(*)::BIGINT AS scored, round((count(*) FILTER (WHERE green) - 0.5 * count(*)) / sqrt(count(*) * 0.25), 6) AS z FROM g GROUP BY doc_id""",
 )
 def a28(spark, sf_dir):
-    from ..functions import text as tx
+    """Pairs of neighbours, told apart and hashed inside their document."""
+    from ..operators import tokens
 
-    words = docs(spark, sf_dir).select("doc_id", F.posexplode(tx.words(F.lower("text"))).alias("k", "tok"))
-    pairs = words.withColumn("prev", F.lag("tok").over(Window.partitionBy("doc_id").orderBy("k"))).filter("prev is not null").select("doc_id", "prev", "tok").distinct()
-    by = pairs.groupBy("doc_id").agg(F.count_if(unit("wm", F.col("prev"), F.col("tok")) < 0.5).alias("green"), F.count("*").alias("scored"))
+    by = tokens.word_runs(docs(spark, sf_dir).select("doc_id", "text"), "text", 2, "\x1f", "wm\x1f").select("doc_id", F.col("low").alias("green"), F.col("distinct").alias("scored"))
     return by.withColumn("z", F.round((F.col("green") - 0.5 * F.col("scored")) / F.sqrt(F.col("scored") * 0.25), 6))
 
 
@@ -144,11 +143,9 @@ def a28(spark, sf_dir):
 )
 def a29(spark, sf_dir):
     """A gram repeats as often as it occurs, less once: no order is needed to count that."""
-    from ..functions import text as tx
+    from ..operators import tokens
 
-    split = tx.computed(docs(spark, sf_dir).select("doc_id", "text"), "w", tx.words(F.lower("text"))).filter(F.size("w") >= 4)
-    grams = split.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i + 1, F.lit(4)), " "))).alias("gram"))
-    by = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.sum(F.col("n") - 1) / F.sum("n")).alias("r"))
+    by = tokens.word_runs(docs(spark, sf_dir).select("doc_id", "text"), "text", 4).withColumn("r", (F.col("runs") - F.col("distinct")) / F.col("runs"))
     return by.select("doc_id", F.round("r", 6).alias("rate"), (F.col("r") > 0.25).alias("looping"))
 
 

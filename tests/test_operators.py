@@ -628,3 +628,19 @@ def test_ngram_hashes_inside_the_row(spark):
         found = {int(hashlib.md5(" ".join(w[k : k + 3]).encode()).hexdigest()[:13], 16) for k in range(len(w) - 2)}
         expected |= {(r["id"], h) for h in found if h % 2 == 0}
     assert sorted((r["id"], r["h"]) for r in out.collect()) == sorted(expected)
+
+
+def test_word_runs_inside_the_row(spark):
+    import hashlib
+
+    from siltstone.operators import tokens
+
+    d = odd_texts(spark)
+    out = tokens.word_runs(d, "text", 2, "\x1f", "wm\x1f")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    expected = set()
+    for r in d.select("id", tx.words(F.lower("text")).alias("w")).filter("size(w) > 1").collect():
+        pairs = list(zip(r["w"], r["w"][1:], strict=False))
+        low = sum(hashlib.md5(f"wm\x1f{a}\x1f{b}".encode()).digest()[0] < 128 for a, b in set(pairs))
+        expected.add((r["id"], len(pairs), len(set(pairs)), low))
+    assert {tuple(r) for r in out.collect()} == expected
