@@ -77,14 +77,15 @@ def f09(spark, sf_dir):
 )
 def f12(spark, sf_dir):
     """Documents that the lines that others of their source have leave too short."""
-    left = dedup.without_lines(docs(spark, sf_dir), "doc_id", "source", repeated_lines(docs(spark, sf_dir)))
+    d = docs(spark, sf_dir)
+    keyed = dedup.keyed_lines(d, "doc_id", "source")
+    left = dedup.without_lines(d, "doc_id", keyed, repeated_lines(keyed))
     return left.select(F.col("id").alias("doc_id"), (F.length("text") < 200).alias("emptied"))
 
 
-def repeated_lines(d):
-    """(source, line): lines that two documents of a source have."""
-    each = decisions.lines(d, "doc_id", "source").filter("line <> ''").select("source", "line", "doc_id").distinct()
-    return each.groupBy("source", "line").agg(F.count("*").alias("n")).filter("n >= 2").select("source", "line")
+def repeated_lines(keyed):
+    """(source, key): lines that two documents of a source have, by the smallest and the largest id."""
+    return keyed.groupBy("source", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("source", "key")
 
 
 _sql("f27_gwas_valid", "SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN 'NA' WHEN doc_id % 7 = 0 THEN '.' ELSE CAST(1.0 / (doc_id + 1) AS VARCHAR) END AS DOUBLE) IS NOT NULL AND doc_id % 11 <> 0 AS valid FROM documents",

@@ -644,3 +644,66 @@ def test_word_runs_inside_the_row(spark):
         low = sum(hashlib.md5(f"wm\x1f{a}\x1f{b}".encode()).digest()[0] < 128 for a, b in set(pairs))
         expected.add((r["id"], len(pairs), len(set(pairs)), low))
     assert {tuple(r) for r in out.collect()} == expected
+
+
+LINE_TEXTS = [
+    (1, "s", "Same line that many documents have\n\n own text \nlast"), (2, "s", "\x85 Same  LINE that many documents have　\nother"),
+    (3, "s", "same line that many documents have\nsame line that many documents have\n\n\n\nthird"), (4, "t", "Same line that many documents have"),
+    (5, None, "Same line that many documents have"), (6, "s", None), (7, "s", ""), (8, "t", "\n \n\t"), (9, "t", "A Short Title Of A Section\n" + "x" * 90),
+    (10, "s", "Twice in one text but nowhere else\nTwice in one text but nowhere else"),
+]
+
+
+def test_lines_meet_inside_their_text(spark):
+    d = spark.createDataFrame(LINE_TEXTS, "id long, source string, text string")
+    full = dedup.full_lines(d, "id", "source")
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    expected = set()
+    for i, s, t in LINE_TEXTS:
+        lines = [(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()]
+        expected |= {(i, s, k, x, y) for (k, x), y in zip(lines, [*[y for _, y in lines[1:]], ""], strict=False)}
+    assert {tuple(r) for r in full.collect()} == expected
+    by_window = decisions.with_next_line(decisions.lines(d, "id", "source"), "id")
+    assert "unboundedfollowing" not in by_window._jdf.queryExecution().executedPlan().toString().lower()
+    assert {tuple(r) for r in by_window.filter("line <> ''").select("id", "source", "pos", "line", "next_line").collect()} == expected
+
+
+def test_strip_takes_every_white_space(spark):
+    space = [chr(k) for k in range(0x10000) if not 0xD800 <= k < 0xE000 and chr(k).isspace()]
+    assert set(tx.SPACES) == set(space)
+    assert one(spark, "".join(space) + "a​ b­" + "".join(space), tx.strip) == "a​ b­"
+    assert one(spark, "".join(space), tx.strip) == ""
+    assert one(spark, None, tx.strip) is None
+
+
+def test_boilerplate_by_places(spark):
+    """Only places of lines are joined: what is written once has neither lines nor texts."""
+    d = spark.createDataFrame(LINE_TEXTS, "id long, source string, text string")
+    marked = dedup.candidate_lines(d, "id", "source")
+    assert marked.columns == ["id", "source", "pos", "key"]
+    found = [tuple(r) for r in dedup.boilerplate(marked, 3).select("source", "documents").collect()]
+    assert found == [("s", 3)]
+    got = {r["id"]: (r["text"], r["n_removed"]) for r in dedup.strip_boilerplate(d, "id", "source", 3).collect()}
+    assert got == {
+        1: ("own text\nlast", 1), 2: ("other", 1), 3: ("third", 2), 4: ("Same line that many documents have", 0), 5: ("Same line that many documents have", 0), 7: ("", 0),
+        8: ("", 0), 9: ("A Short Title Of A Section\n" + "x" * 90, 0), 10: ("Twice in one text but nowhere else\nTwice in one text but nowhere else", 0),
+    }
+    cut = [(r["source"], r["documents"], r["removed"], r["example"]) for r in dedup.removed_lines(d, "id", "source", 3).collect()]
+    assert cut == [("s", 3, 4, "Same line that many documents have")]
+
+
+def test_lines_of_two_documents_by_key(spark):
+    from siltstone.plans.more_queries import repeated_lines
+
+    d = spark.createDataFrame(LINE_TEXTS, "id long, source string, text string")
+    keyed = dedup.keyed_lines(d, "id", "source")
+    assert keyed.columns == ["id", "source", "pos", "key"]
+    got = {r["id"]: r["text"] for r in dedup.without_lines(d, "id", keyed, repeated_lines(keyed)).collect()}
+    same = "Same line that many documents have"
+    assert got == {i: "" if i == 6 else t for i, _, t in LINE_TEXTS} | {
+        1: f"{same}\n\nown text\nlast", 2: "Same  LINE that many documents have\nother", 3: f"{same.lower()}\n{same.lower()}\n\nthird", 8: "",
+    }
+    twice = spark.createDataFrame([(1, "s", f"{same}\na"), (2, "s", f"b\n{same} \nb")], "id long, source string, text string")
+    keyed = dedup.keyed_lines(twice, "id", "source")
+    assert {r["id"]: (r["text"], r["n_removed"]) for r in dedup.without_lines(twice, "id", keyed, repeated_lines(keyed)).collect()} == {1: ("a", 1), 2: ("b\nb", 1)}
