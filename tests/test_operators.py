@@ -707,3 +707,19 @@ def test_lines_of_two_documents_by_key(spark):
     twice = spark.createDataFrame([(1, "s", f"{same}\na"), (2, "s", f"b\n{same} \nb")], "id long, source string, text string")
     keyed = dedup.keyed_lines(twice, "id", "source")
     assert {r["id"]: (r["text"], r["n_removed"]) for r in dedup.without_lines(twice, "id", keyed, repeated_lines(keyed)).collect()} == {1: ("a", 1), 2: ("b\nb", 1)}
+
+
+def test_build_marks_lines_once_and_joins_copies_without_texts(spark, monkeypatch):
+    from siltstone.plans import build as plan
+
+    marked, written = [], {}
+    mark, write = dedup.candidate_lines, plan.staged
+    monkeypatch.setattr(dedup, "candidate_lines", lambda *a, **k: marked.append(1) or mark(*a, **k))
+    monkeypatch.setattr(plan, "staged", lambda df, name: written.setdefault(name, write(df, name)))
+    text = "the cat and the dog are in the house " * 10
+    rows = [("s", 1, "t", text), ("s", 2, "t", text.upper()), ("s", 3, "t", text + "more of it"), ("s", 4, "t", None), ("s", 5, "t", None)]
+    out = build(spark.createDataFrame(rows, "source string, doc_id long, title string, text string"), BuildConfig(near_duplicates="off"))
+    assert {r["doc_id"]: r["reason"] for r in out["ledger"].collect()} == {1: "", 2: "exact_duplicate", 3: "", 4: "missing_text", 5: "missing_text"}
+    assert [tuple(r) for r in out["duplicates"].collect()] == [("exact", 2, 1)]
+    assert len(marked) == 1
+    assert written["copies"].columns == ["doc_id", "first"]
