@@ -723,3 +723,24 @@ def test_build_marks_lines_once_and_joins_copies_without_texts(spark, monkeypatc
     assert [tuple(r) for r in out["duplicates"].collect()] == [("exact", 2, 1)]
     assert len(marked) == 1
     assert written["copies"].columns == ["doc_id", "first"]
+
+
+def test_rowwise_takes_slices_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from siltstone.functions import rowwise
+
+    texts = [None, "a" * 3_000_000, "é" * 900_000, *["b" * 400_000] * 7, None, *["c"] * 5000, "d" * 2_000_000]
+    column = pa.array(["x", *texts], pa.string()).slice(1)
+    got = list(rowwise.pieces(column))
+    assert [v for piece in got for v in piece.to_pylist()] == texts
+    assert all(piece.nbytes <= rowwise.SLICE_BYTES or len(piece) == 1 for piece in got)
+    assert list(rowwise.pieces(column.slice(0, 0))) == []
+    d = spark.createDataFrame([(None,), ("é",), ("a\n\nb" * 3,)], "text string").coalesce(1)
+    out = d.select(tx.nfc("text").alias("t"), convert.long_parts(6)("text").alias("p"), convert.html_page("text").alias("h"), convert.decoded(F.encode("text", "UTF-8")).alias("d"))
+    rows = out.collect()
+    assert [r["t"] for r in rows] == [None, "é", "a\n\nb" * 3] and [r["d"] for r in rows] == [None, "é", "a\n\nb" * 3]
+    assert rows[0]["p"] is None and "".join(rows[2]["p"]) == "a\n\nb" * 3
+    assert rows[0]["h"]["text"] == "" and rows[1]["h"]["links"] == []
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "], 200" not in plan  # 200: functions of whole batches as pandas series
