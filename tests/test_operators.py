@@ -723,6 +723,7 @@ def test_build_marks_lines_once_and_joins_copies_without_texts(spark, monkeypatc
     assert [tuple(r) for r in out["duplicates"].collect()] == [("exact", 2, 1)]
     assert len(marked) == 1
     assert written["copies"].columns == ["doc_id", "first"]
+    assert "cleaned" not in written  # texts are judged as they are cleaned, and written once for both
 
 
 def test_rowwise_takes_slices_of_bounded_bytes(spark):
